@@ -1,5 +1,6 @@
 """The vector table: metadata and both vector tracks of a work order in one Parquet row."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -8,12 +9,6 @@ from wosearch.schema import VECTOR_TABLE_SCHEMA
 _COLUMNS = VECTOR_TABLE_SCHEMA.names
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(jvm_path)
-
-
 def append_vectors(df: DataFrame, path: str) -> None:
     """Append rows with their vectors. Both tracks arrive together or not at all."""
     df.select(*_COLUMNS).write.mode("append").parquet(path)
@@ -21,11 +16,12 @@ def append_vectors(df: DataFrame, path: str) -> None:
 
 def open_vectors(spark: SparkSession, path: str, required: bool = False) -> DataFrame:
     """The stored table, or an empty one when nothing was stored yet."""
-    if path_exists(spark, path):
+    try:
         return spark.read.schema(VECTOR_TABLE_SCHEMA).parquet(path)
-    if required:
-        raise FileNotFoundError(f"no vector table at {path}")
-    return spark.createDataFrame([], VECTOR_TABLE_SCHEMA)
+    except AnalysisException as error:
+        if required or error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], VECTOR_TABLE_SCHEMA)
 
 
 def write_stage(df: DataFrame, path: str) -> DataFrame:

@@ -34,31 +34,49 @@ def _with_file_order(df: DataFrame) -> DataFrame:
     )
 
 
-def _read_strings(spark: SparkSession, path, columns, mode: str) -> DataFrame:
-    reader = spark.read.schema(string_schema(columns)).options(**_DIALECT)
-    return _with_file_order(
-        reader.options(multiLine=True, mode=mode, enforceSchema=False).csv(path)
+def _read_strings(spark: SparkSession, path, columns, multi_line: bool, bad_rows: str):
+    """All-string scan by header name. A short row is padded with nulls; a row with more
+    fields than the header fails the job or is skipped. Absent columns read as ``''``.
+    """
+    options = {**_DIALECT, "multiLine": multi_line}
+    header = spark.read.options(**options).csv(path).columns
+    # An empty field must differ from a missing one, hence the unused null marker.
+    df = (
+        spark.read.schema(string_schema([*header, "_overflow"]))
+        .options(**options, enforceSchema=True, nullValue="\x00")
+        .csv(path)
     )
+    df = _with_file_order(df)
+    if bad_rows == "skip":
+        df = df.filter(F.col("_overflow").isNull())
+    else:
+        too_long = F.raise_error(F.lit("row has more fields than the header"))
+        df = df.filter(F.when(F.col("_overflow").isNull(), True).otherwise(too_long))
+    return df.withColumns({c: F.lit("") for c in columns if c not in header})
 
 
 def _map_columns(df: DataFrame, columns, function) -> DataFrame:
     return df.select(SEQ, *[function(F.col(c)).alias(c) for c in columns])
 
 
-def read_raw(spark: SparkSession, path, columns=RAW_COLUMNS) -> DataFrame:
-    """Raw export. All columns stay text; the usual missing-value strings become null."""
-    return _map_columns(_read_strings(spark, path, columns, "PERMISSIVE"), columns, na_to_null)
+def read_raw(spark: SparkSession, path, multi_line: bool = True) -> DataFrame:
+    """Raw export. All columns stay text; the usual missing-value strings become null.
+
+    Free text may hold line breaks, which makes a file one split: export many files.
+    """
+    df = _read_strings(spark, path, RAW_COLUMNS, multi_line, "error")
+    return _map_columns(df, RAW_COLUMNS, na_to_null)
 
 
-def read_preprocessed(spark: SparkSession, path) -> DataFrame:
-    """Normalised export. Malformed rows are skipped, missing values become ``''``."""
-    df = _read_strings(spark, path, CLEAN_COLUMNS, "DROPMALFORMED")
+def read_preprocessed(spark: SparkSession, path, multi_line: bool = False) -> DataFrame:
+    """Normalised export. Over-long rows are skipped, missing values become ``''``."""
+    df = _read_strings(spark, path, CLEAN_COLUMNS, multi_line, "skip")
     return _map_columns(df, CLEAN_COLUMNS, na_to_empty)
 
 
-def read_clean(spark: SparkSession, path) -> DataFrame:
+def read_clean(spark: SparkSession, path, multi_line: bool = False) -> DataFrame:
     """Cleaned export, all text, missing values filled with ``''``."""
-    df = _read_strings(spark, path, CLEAN_COLUMNS, "PERMISSIVE")
+    df = _read_strings(spark, path, CLEAN_COLUMNS, multi_line, "error")
     return _map_columns(df, CLEAN_COLUMNS, na_to_empty)
 
 
