@@ -6,8 +6,6 @@ from pyspark.sql import functions as F
 from wosearch.config import MIN_DESCRIPTION, READY_DESCRIPTION
 from wosearch.schema import CLEAN_COLUMNS
 
-REPORT = "check string, column string, value double"
-
 
 def _share(part, total):
     return F.coalesce(F.try_divide(part, total), F.lit(0.0))
@@ -82,12 +80,16 @@ def cardinality(df: DataFrame, columns=("BuildingID", "Type"), approximate: bool
     )
 
 
-def readiness(df: DataFrame) -> DataFrame:
-    """Share of rows good enough to embed, with a verdict."""
-    good = (
+def readiness_condition():
+    return (
         (F.length("WODescription") > READY_DESCRIPTION)
         & (F.col("BuildingID") != "") & (F.col("Type") != "")
     )
+
+
+def readiness(df: DataFrame) -> DataFrame:
+    """Share of rows good enough to embed, with a verdict."""
+    good = readiness_condition()
     counted = df.agg(F.count(F.when(good, 1)).alias("good_rows"), F.count("*").alias("total"))
     scored = counted.withColumn("score", _share(F.col("good_rows"), F.col("total")))
     return scored.withColumn(
@@ -98,34 +100,37 @@ def readiness(df: DataFrame) -> DataFrame:
 
 
 def full_report(df: DataFrame) -> DataFrame:
-    """All checks as (check, column, value) rows."""
-
-    def rows(part: DataFrame, check, column, value) -> DataFrame:
-        return part.select(
-            check.alias("check"), column.alias("column"), value.cast("double").alias("value")
-        )
-
-    lit, col, none = F.lit, F.col, F.lit("")
-    missing = missing_values(df)
-    buildings = placeholder_buildings(df).unpivot([], ["invalid", "share"], "m", "v")
-    texts = text_quality(df).unpivot([], ["empty_text", "short_text"], "m", "v")
-    ready = readiness(df).select("good_rows", "score").unpivot(
-        [], ["good_rows", "score"], "m", "v"
+    """All checks as (check, column, value) rows. Everything that is not a distinct count
+    comes from one pass over the table.
+    """
+    good = readiness_condition()
+    counters = {
+        **{f"missing:{c}": F.col(c) == "" for c in CLEAN_COLUMNS},
+        "placeholder_building:BuildingID": F.col("BuildingID").startswith("UNK"),
+        "empty_text:WODescription": F.col("WODescription") == "",
+        "short_text:WODescription": F.length("WODescription") < MIN_DESCRIPTION,
+        "ready_rows:": good,
+    }
+    counted = df.agg(
+        F.count("*").cast("double").alias("rows:"),
+        *[F.count(F.when(c, 1)).cast("double").alias(n) for n, c in counters.items()],
+    )
+    shares = {n.replace(":", "_share:"): _share(F.col(f"`{n}`"), F.col("`rows:`"))
+              for n in counters if not n.startswith(("empty", "short"))}
+    wide = counted.withColumns(shares)
+    simple = wide.unpivot([], list(wide.columns), "name", "value").select(
+        F.split_part("name", F.lit(":"), F.lit(1)).alias("check"),
+        F.split_part("name", F.lit(":"), F.lit(2)).alias("column"),
+        "value",
+    )
+    present = schema_report(df).select(
+        F.lit("present").alias("check"), "column", F.col("present").cast("double").alias("value")
+    )
+    double = duplicates(df).select("check", F.lit("").alias("column"), F.col("value").cast("double"))
+    distinct = cardinality(df).select(
+        F.lit("n_distinct").alias("check"), "column", F.col("n_distinct").cast("double").alias("value")
     )
-    parts = [
-        rows(schema_report(df), lit("present"), col("column"), col("present")),
-        rows(missing, lit("missing"), col("column"), col("missing")),
-        rows(missing, lit("missing_share"), col("column"), col("share")),
-        rows(buildings, F.concat(lit("building_"), col("m")), none, col("v")),
-        rows(texts, col("m"), none, col("v")),
-        rows(duplicates(df), col("check"), none, col("value")),
-        rows(cardinality(df), lit("n_distinct"), col("column"), col("n_distinct")),
-        rows(ready, F.concat(lit("ready_"), col("m")), none, col("v")),
-    ]
-    report = parts[0]
-    for part in parts[1:]:
-        report = report.unionByName(part)
-    return report
+    return simple.unionByName(present).unionByName(double).unionByName(distinct)
 
 
 def corpus_headline(df: DataFrame) -> DataFrame:
