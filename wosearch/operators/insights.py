@@ -168,7 +168,9 @@ def latency_race(log: DataFrame) -> DataFrame:
 
 def recall_series(metrics: DataFrame, ks=EVAL_KS) -> DataFrame:
     """(strategy, k, recall) points."""
-    points = [F.struct(F.lit(k), F.col(f"recall_{k}")) for k in ks]
+    points = [
+        F.struct(F.lit(k).alias("k"), F.col(f"recall_{k}").alias("recall")) for k in ks
+    ]
     return metrics.select("strategy", F.inline(F.array(*points)).alias("k", "recall"))
 
 
