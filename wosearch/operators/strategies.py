@@ -38,9 +38,9 @@ def filter_is_empty() -> Column:
     return F.coalesce(*FILTERS).isNull()
 
 
-def drop_repeated_woids(hits: DataFrame, *keys: str) -> DataFrame:
-    """Best hit per WOID inside ``keys``, ranked again by score."""
-    order = [F.desc("score"), "woid"]
+def drop_repeated_woids(hits: DataFrame, *keys: str, order=None) -> DataFrame:
+    """Best hit per WOID inside ``keys``, ranked again. ``order`` breaks equal scores."""
+    order = order or [F.desc("score"), "woid"]
     per_woid = Window.partitionBy(*keys, "woid").orderBy(*order)
     per_key = Window.partitionBy(*keys).orderBy(*order)
     return (
@@ -59,7 +59,7 @@ def _pool(corpus: DataFrame, queries: DataFrame, k: int, vector: str, dim: int)
         F.col("BuildingName").alias("building_name"), F.col("Type").alias("wo_type"),
         "equipment", F.col("WODescription").alias("wo_description"),
     )
-    return drop_repeated_woids(hits, "query_id")
+    return drop_repeated_woids(hits, "query_id", order=["pool_rank"])
 
 
 def _text_hits(pool: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -401,7 +401,8 @@ def point_lookup(s):
 
 @query
 def vector_lookup(s):
-    return inspection.lookup(s.vectors, "W8").select("WOID", F.posexplode("text_vec").alias("dimension", "value")).withColumn("value", F.round(F.col("value").cast("double"), 6))
+    cells = inspection.heat_map(inspection.lookup(s.vectors, "W8"), "WOID", "text_vec", None)
+    return cells.withColumn("value", F.round(F.col("value").cast("double"), 6))
 
 
 @query
@@ -590,8 +591,9 @@ def ad_hoc_search(s):
 def hits_one_per_woid(s):
     corpus = s.raw.filter("stored_vec IS NOT NULL").select(SEQ, "WOID", F.col("stored_vec").alias("embedding"))
     found = search(corpus, s.label_probes, TOP_K * POOL_FACTOR, "embedding", 64)
-    hits = found.withColumnRenamed("WOID", "woid").drop("pool_rank")
-    return _score(strategies.drop_repeated_woids(hits, "query_id"))
+    hits = found.withColumnRenamed("WOID", "woid")
+    one = strategies.drop_repeated_woids(hits, "query_id", order=["pool_rank"])
+    return _score(one.drop("pool_rank"))
 
 
 @query

@@ -566,14 +566,15 @@ _STATEMENTS = {
             "SELECT query_id, ingest_seq, WOID FROM one_query, cleaned") + "))",
     # Strategies and routing
     "hits_one_per_woid": f"""
-      SELECT query_id, rank, woid, ingest_seq, {_SCORE} FROM (
-        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, woid) AS rank FROM (
-          SELECT query_id, ingest_seq, WOID AS woid, score FROM (
-            SELECT q.vec_id AS query_id, ingest_seq, WOID,
-                   CAST({_DOT.format(a='q.embedding', b='w.stored_vec')} AS FLOAT) AS score
-            FROM embeddings q SEMI JOIN labels_first f ON f.vec_id = q.vec_id
-            CROSS JOIN (SELECT * FROM raw WHERE stored_vec IS NOT NULL) w)
-          QUALIFY row_number() OVER (PARTITION BY query_id
+      SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, woid) AS rank,
+             woid, ingest_seq, {_SCORE}
+      FROM (
+        SELECT * FROM (
+          SELECT q.vec_id AS query_id, ingest_seq, WOID AS woid,
+                 CAST({_DOT.format(a='q.embedding', b='w.stored_vec')} AS FLOAT) AS score
+          FROM embeddings q SEMI JOIN labels_first f ON f.vec_id = q.vec_id
+          CROSS JOIN (SELECT * FROM raw WHERE stored_vec IS NOT NULL) w
+          QUALIFY row_number() OVER (PARTITION BY q.vec_id
                                      ORDER BY score DESC, WOID, ingest_seq) <= 200)
         QUALIFY row_number() OVER (PARTITION BY query_id, woid ORDER BY score DESC, ingest_seq) = 1)""",
     "strategy_a": f"{_HIT} hits WHERE strategy = 'A'",
