@@ -20,7 +20,8 @@ def strip(c) -> Column:
 
 
 def collapse(c) -> Column:
-    return F.regexp_replace(c, f"[{SPACE}]+", " ")
+    # A lone space already is what it should be and is not matched.
+    return F.regexp_replace(c, f" [{SPACE}]+|[{SPACE}&&[^ ]][{SPACE}]*", " ")
 
 
 def search_text(c) -> Column:
@@ -30,14 +31,15 @@ def search_text(c) -> Column:
     """
     # The six separators become a space, the two quotes disappear.
     flat = F.translate(F.coalesce(c, F.lit("")), "\n\r,;|/\"'", " " * 6)
-    words = collapse(strip(F.lower(flat)))
-    return F.regexp_replace(words, f"[^{WORD}{SPACE}\\-.]", "")
+    words = F.trim(collapse(F.lower(flat)))
+    # ASCII first: the regex engine tests the parts of a class in order.
+    return F.regexp_replace(words, f"[^a-z0-9 \\-.{WORD}{SPACE}]+", "")
 
 
 def strict_text(c) -> Column:
     """ASCII form: lower-case letters, digits, dashes and single spaces."""
     lowered = F.lower(F.coalesce(c, F.lit("")))
-    return strip(collapse(F.regexp_replace(lowered, f"[^a-z0-9{SPACE}\\-]", " ")))
+    return F.trim(collapse(F.regexp_replace(lowered, f"[^a-z0-9{SPACE}\\-]+", " ")))
 
 
 def na_to_null(c) -> Column:

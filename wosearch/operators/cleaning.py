@@ -7,6 +7,7 @@ from wosearch.config import MIN_DESCRIPTION, PLACEHOLDER_BUCKETS
 from wosearch.functions.text import na_to_empty, search_text, strip
 from wosearch.operators.numbering import with_row_index
 from wosearch.schema import CLEAN_COLUMNS, RAW_COLUMNS, SEQ
+from wosearch.session import materialise
 
 
 def preprocess(raw: DataFrame) -> DataFrame:
@@ -111,11 +112,13 @@ def clean(preprocessed: DataFrame, buckets: int = PLACEHOLDER_BUCKETS) -> DataFr
     """The cleaning job: drop rows without WOID, keep the first row of each WOID, drop
     short descriptions, spread missing buildings over placeholders, fill defaults.
 
-    All decisions are taken on narrow rows; the full rows move once, to meet them.
+    All decisions are taken on narrow rows and written out, a few bytes per work order; the
+    full rows move once, to meet them.
     """
     df = fill_missing(preprocessed)
     df = df.withColumn("BuildingID", standard_building_id(F.col("BuildingID")))
-    kept = _survivors(df.filter(has_woid())).filter("kept").select(SEQ, "lacks")
+    survivors = _survivors(df.filter(has_woid())).filter("kept").select(SEQ, "lacks")
+    kept = materialise(survivors, "cleaning-decisions")
     numbered = with_row_index(kept.filter("lacks").select(SEQ), SEQ)
     label = F.concat(F.lit("UNK_"), (F.col("row_index") % buckets).cast("string"))
     decisions = kept.join(numbered, SEQ, "left").select(SEQ, label.alias("_label"))

@@ -13,6 +13,13 @@ _CASE = (
 )
 
 
+def rounded(c, digits: int) -> Column:
+    """Rounded mean. The first rounding removes what the order of summation left behind, so
+    that the result does not depend on the partitioning.
+    """
+    return F.round(F.round(c, 12), digits)
+
+
 def judge(hits: DataFrame, relevant: DataFrame) -> DataFrame:
     """Mark every hit as relevant or not.
 
@@ -142,17 +149,17 @@ def metrics_documents(per_query: DataFrame, log: DataFrame, ks=EVAL_KS) -> DataF
     keys = F.array(*[F.lit(str(k)) for k in ks])
 
     def by_k(name, metric, prefix=""):
-        values = [F.round(f"{prefix}{metric}_{k}", 6) for k in ks]
+        values = [rounded(f"{prefix}{metric}_{k}", 6) for k in ks]
         return F.map_from_arrays(keys, F.array(*values)).alias(name)
 
     return wide.select(
-        "strategy", "n_queries", F.round("mrr", 6).alias("mrr"),
+        "strategy", "n_queries", rounded("mrr", 6).alias("mrr"),
         by_k("recall", "recall"), by_k("ndcg", "ndcg"),
         by_k("recall_semantic", "recall", "semantic_"),
         by_k("recall_constrained", "recall", "constrained_"),
         by_k("ndcg_semantic", "ndcg", "semantic_"),
         by_k("ndcg_constrained", "ndcg", "constrained_"),
         F.struct(*[
-            F.coalesce(F.round(c, 3), F.lit(0.0)).alias(c) for c in ("mean_ms", "std_ms", "p95_ms")
+            F.coalesce(rounded(c, 3), F.lit(0.0)).alias(c) for c in ("mean_ms", "std_ms", "p95_ms")
         ]).alias("latency"),
     )

@@ -13,9 +13,10 @@ def with_row_index(
 
     Rows are numbered inside buckets of ``bucket`` consecutive order values, then shifted
     by the rows of all earlier buckets. A bucket holds at most ``bucket`` rows whatever the
-    data looks like, and the prefix sum runs over one row per non-empty bucket.
+    data looks like, and the prefix sum runs over one row per non-empty bucket. ``df`` is
+    read twice: pass a table or a narrow plan.
     """
-    keyed = df.withColumn("_bucket", F.floor(F.col(order) / F.lit(bucket)))
+    keyed = df.withColumn("_bucket", F.expr(f"`{order}` div {bucket}"))
     earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     shifts = keyed.groupBy("_bucket").count().select(
         "_bucket", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_shift")

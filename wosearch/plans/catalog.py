@@ -19,7 +19,7 @@ from wosearch.operators.numbering import chunk_sizes, with_row_index
 from wosearch.operators.search import neighbours, search
 from wosearch.plans.evaluation import Evaluation, full_analysis, run_evaluation
 from wosearch.schema import CLEAN_COLUMNS, RAW_COLUMNS, SEQ
-from wosearch.session import materialise, new_path
+from wosearch.session import materialise, new_path, spread
 from wosearch.sources import results, testdata, vector_table, work_orders
 from wosearch.streaming.ingest import ingest_progress, ingest_totals, start_ingest
 from wosearch.streaming.routing import start_routing
@@ -54,7 +54,7 @@ class Stages:
 
     @cached_property
     def preprocessed(self) -> DataFrame:
-        return cleaning.preprocess(self.raw_text)
+        return materialise(cleaning.preprocess(self.raw_text), "preprocessed")
 
     @cached_property
     def filled(self) -> DataFrame:
@@ -67,7 +67,7 @@ class Stages:
     @cached_property
     def vectors(self) -> DataFrame:
         return materialise(
-            embed_documents(with_representations(self.cleaned), self.encoder), "vectors"
+            embed_documents(with_representations(spread(self.cleaned)), self.encoder), "vectors"
         )
 
     @cached_property
@@ -292,7 +292,7 @@ def strict_text_form(s):
 
 @query
 def preprocess_rows(s):
-    return s.preprocessed
+    return cleaning.preprocess(s.raw_text)
 
 
 @query

@@ -37,3 +37,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, most: int = 32) -> DataFrame:
+    """Spread a table that was read from a handful of files over the free cores.
+
+    A table with more splits than that is left alone: no shuffle.
+    """
+    wanted = min(most, df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df

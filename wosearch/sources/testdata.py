@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from wosearch.config import STRATEGIES
 from wosearch.schema import SEQ
+from wosearch.session import spread
 
 # Plants what cleaning must handle: blank and 'nan' buildings, blank names, types, dates
 # and ids, and repeated ids. Valid in Spark and DuckDB alike.
@@ -49,7 +50,7 @@ FROM {raw}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
 def work_orders(spark: SparkSession, folder: str) -> DataFrame:
