@@ -36,14 +36,14 @@ def _with_file_order(df: DataFrame) -> DataFrame:
 
 def _read_strings(spark: SparkSession, path, columns, multi_line: bool, bad_rows: str):
     """All-string scan by header name. A short row is padded with nulls; a row with more
-    fields than the header fails the job or is skipped. Absent columns read as ``''``.
+    fields than the header fails the job or is skipped; a trailing delimiter is no field.
+    Columns the header lacks read as ``''``.
     """
     options = {**_DIALECT, "multiLine": multi_line}
     header = spark.read.options(**options).csv(path).columns
-    # An empty field must differ from a missing one, hence the unused null marker.
     df = (
         spark.read.schema(string_schema([*header, "_overflow"]))
-        .options(**options, enforceSchema=True, nullValue="\x00")
+        .options(**options, enforceSchema=True)
         .csv(path)
     )
     df = _with_file_order(df)
