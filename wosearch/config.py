@@ -6,6 +6,9 @@ ENCODE_BATCH = 128
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 CONTEXT_QUERY_PREFIX = "work order description: "
 
+# Sources: longest file list that is sent to every executor.
+BROADCAST_FILES = 100_000
+
 # Cleaning
 CHUNK_ROWS = 10_000
 MIN_DESCRIPTION = 20

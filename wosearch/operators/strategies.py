@@ -11,13 +11,16 @@ from wosearch.config import POOL_FACTOR, STRATEGIES, TOP_K
 from wosearch.operators.encoding import Encoder, embed_queries
 from wosearch.operators.search import search
 from wosearch.schema import SEQ
+from wosearch.session import materialise
 
 FILTERS = ("building_id", "building_type", "equipment")
 HIT_COLUMNS = (
     "query_id", "strategy", "rank", "score", "woid", "building_id", "building_name",
     "wo_type", "equipment", "wo_description",
 )
-_METADATA = (SEQ, "WOID", "BuildingID", "BuildingName", "Type", "equipment", "WODescription")
+# What ranking and filtering need; long text joins the final hits only.
+_KEYS = (SEQ, "WOID", "BuildingID", "Type", "equipment")
+_RANKED = ("query_id", "strategy", "rank", "score", SEQ, "woid", "building_id", "wo_type", "equipment")
 
 
 def matches_filter(building_id, building_type, equipment, row: dict) -> Column:
@@ -52,16 +55,31 @@ def drop_repeated_woids(hits: DataFrame, *keys: str, order=None) -> DataFrame:
 
 def _pool(corpus: DataFrame, queries: DataFrame, k: int, vector: str, dim: int) -> DataFrame:
     """Top-k hits per query, one per WOID, still carrying their rank in the table."""
-    found = search(corpus.select(*_METADATA, vector), queries, k, vector, dim)
+    found = search(corpus.select(*_KEYS, vector), queries, k, vector, dim)
     hits = found.select(
-        "query_id", "score", "pool_rank",
-        F.col("WOID").alias("woid"), F.col("BuildingID").alias("building_id"),
-        F.col("BuildingName").alias("building_name"), F.col("Type").alias("wo_type"),
-        "equipment", F.col("WODescription").alias("wo_description"),
+        "query_id", "score", "pool_rank", SEQ, F.col("WOID").alias("woid"),
+        F.col("BuildingID").alias("building_id"), F.col("Type").alias("wo_type"), "equipment",
     )
     return drop_repeated_woids(hits, "query_id", order=["pool_rank"])
 
 
+def _with_text(corpus: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Add the stored text to ranked hits.
+
+    The hits are written first: they are few, and with their real size known Spark sends
+    them to the corpus scan instead of shuffling the corpus.
+    """
+    ranked = materialise(ranked.select(*_RANKED), "ranked")
+    texts = (
+        corpus.select(
+            SEQ, F.col("BuildingName").alias("building_name"),
+            F.col("WODescription").alias("wo_description"),
+        )
+        .join(ranked.select(SEQ), SEQ, "left_semi").dropDuplicates([SEQ])
+    )
+    return ranked.join(texts, SEQ).select(*HIT_COLUMNS)
+
+
 def _text_hits(pool: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """A, B and B_prime out of one pool: A is its head, the other two filter it first."""
     wanted = queries.select("query_id", "strategies", *[F.col(c).alias(f"f_{c}") for c in FILTERS])
@@ -91,7 +109,7 @@ def _text_hits(pool: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         .filter(F.col("_s.ok") & F.array_contains("strategies", F.col("_s.name")))
         .withColumn("strategy", F.col("_s.name"))
         .withColumn("rank", F.col("_s.place"))
-        .select(*HIT_COLUMNS)
+        .select(*_RANKED)
     )
 
 
@@ -114,9 +132,10 @@ def retrieve(
     by_context = vectors.filter(F.array_contains("strategies", "C"))
     pool = _pool(corpus, by_text, k * POOL_FACTOR, "text_vec", encoder.dim)
     context = _pool(corpus, by_context, k, "mice_vec", encoder.dim)
-    return _text_hits(pool, queries, k).unionByName(
-        context.withColumn("strategy", F.lit("C")).select(*HIT_COLUMNS)
+    ranked = _text_hits(pool, queries, k).unionByName(
+        context.withColumn("strategy", F.lit("C")).select(*_RANKED)
     )
+    return _with_text(corpus, ranked)
 
 
 def with_strategies(queries: DataFrame, *names: str) -> DataFrame:
@@ -126,7 +145,7 @@ def with_strategies(queries: DataFrame, *names: str) -> DataFrame:
 def strategy_a(corpus, queries, encoder, k: int = TOP_K) -> DataFrame:
     """Plain dense retrieval: top-k of the table, then one hit per WOID."""
     pool = _pool(corpus, embed_queries(queries, encoder), k, "text_vec", encoder.dim)
-    return pool.withColumn("strategy", F.lit("A")).select(*HIT_COLUMNS)
+    return _with_text(corpus, pool.withColumn("strategy", F.lit("A")))
 
 
 def strategy_b(corpus, queries, encoder, k: int = TOP_K) -> DataFrame:
@@ -142,7 +161,7 @@ def strategy_b_prime(corpus, queries, encoder, k: int = TOP_K) -> DataFrame:
 def strategy_c(corpus, queries, encoder, k: int = TOP_K) -> DataFrame:
     """Dense retrieval on the vectors that have the metadata in their text."""
     pool = _pool(corpus, embed_queries(queries, encoder), k, "mice_vec", encoder.dim)
-    return pool.withColumn("strategy", F.lit("C")).select(*HIT_COLUMNS)
+    return _with_text(corpus, pool.withColumn("strategy", F.lit("C")))
 
 
 def retrieve_named(corpus, queries, encoder, k: int = TOP_K) -> DataFrame:

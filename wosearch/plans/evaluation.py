@@ -47,7 +47,7 @@ def run_evaluation(
     """
     if cases is None:
         cases = build_cases(vectors, n_queries, seed)
-    hits = materialise(retrieve_all(vectors, cases, encoder, max(ks)), "hits")
+    hits = materialise(retrieve_all(vectors, cases, encoder, max(ks)), "hits-with-text")
     judged = materialise(judge(hits, relevant_rows(vectors, cases)), "judged-hits")
     per_query = materialise(per_query_metrics(judged, cases, ks), "per-query")
     return Evaluation(cases, judged, per_query)

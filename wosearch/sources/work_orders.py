@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wosearch.config import BROADCAST_FILES
 from wosearch.functions.text import na_to_empty, na_to_null
 from wosearch.schema import CLEAN_COLUMNS, RAW_COLUMNS, SEQ, string_schema
 
@@ -17,10 +18,12 @@ def _with_file_order(df: DataFrame) -> DataFrame:
     row position in the task: unique and ascending, because a row takes at least one byte
     and only the last split of a file shares a task with other files.
     """
-    spark = df.sparkSession
-    ranks = spark.createDataFrame(
-        list(enumerate(sorted(df.inputFiles()))), "file_rank bigint, file string"
+    files = sorted(df.inputFiles())
+    ranks = df.sparkSession.createDataFrame(
+        list(enumerate(files)), "file_rank bigint, file string"
     )
+    # The list of files came from the driver. Beyond the bound Spark picks the join.
+    ranks = F.broadcast(ranks) if len(files) <= BROADCAST_FILES else ranks
     position = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     placed = df.select(
         "*",
