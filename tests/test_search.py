@@ -199,3 +199,25 @@ def test_unknown_strategy_fails(spark, table):
     asked = spark.createDataFrame([(1, "pump", None, None, None)], QUERIES).withColumn("strategy", F.lit("D"))
     with pytest.raises(Exception, match="unknown strategy"):
         strategies.retrieve_named(corpus, asked, encoder).collect()
+
+
+def test_forced_strategy_keeps_the_filter(spark, table):
+    from wosearch.operators.router import route_and_retrieve
+
+    corpus, _, encoder = table
+    asked = spark.createDataFrame([(1, "hvac pump"), (2, "leak")], "query_id bigint, query_text string")
+    hits, routed = route_and_retrieve(corpus, asked, encoder, 4)
+    assert {(r.query_id, r.strategy) for r in hits.collect()} == {(1, "B_prime"), (2, "A")}
+    assert {r.equipment for r in hits.filter("query_id = 1").collect()} == {"hvac"}
+    assert [r.signal for r in routed.orderBy("query_id").collect()] == ["equipment", "none"]
+    forced, _ = route_and_retrieve(corpus, asked, encoder, 4, force="C")
+    assert {r.strategy for r in forced.collect()} == {"C"}
+
+
+def test_appended_twice_gives_one_hit_per_id(spark, table):
+    corpus, rows, encoder = table
+    asked = spark.createDataFrame([(1, "pump leak roof", None, None, None)], QUERIES)
+    double = corpus.unionByName(corpus)
+    hits = strategies.strategy_a(double, asked, encoder, 8).orderBy("rank").collect()
+    want = python_strategies(rows + rows, encoder, (1, "pump leak roof", None, None, None), 8)["A"]
+    assert [r.woid for r in hits] == want and len(want) < 8

@@ -31,8 +31,9 @@ def normalised(v) -> Column:
 
 def checked_dim(v, dim: int) -> Column:
     """The vector itself; the job fails when its size is not ``dim``."""
+    actual = F.coalesce(F.size(v).cast("string"), F.lit("null"))
     return F.when(F.size(v) == dim, v).otherwise(
-        F.raise_error(F.concat(F.lit(f"vector size is not {dim}: "), F.size(v).cast("string")))
+        F.raise_error(F.concat(F.lit(f"vector size is not {dim}: "), actual))
     )
 
 

@@ -160,7 +160,9 @@ def search(
 
     # One row more than fits tells whether the query set is small enough to travel.
     block = probes.limit(limit + 1).toArrow()
-    if block.num_rows <= limit:
+    if block.num_rows == 0:
+        candidates = spark.createDataFrame([], schema)
+    elif block.num_rows <= limit:
         shared = spark.sparkContext.broadcast(block)
         candidates = usable.mapInArrow(lambda batches: scan_with(shared.value)(batches), schema)
     else:
