@@ -114,27 +114,34 @@ def _text_hits(pool: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def retrieve(
-    corpus: DataFrame, queries: DataFrame, encoder: Encoder, k: int = TOP_K
+    corpus: DataFrame, queries: DataFrame, encoder: Encoder, k: int = TOP_K, possible=STRATEGIES
 ) -> DataFrame:
     """Hits of every strategy named in a query's ``strategies`` array.
 
     One scan of the text vectors serves A, B and B_prime; one scan of the metadata vectors
-    serves C. A query only takes part in the scans its strategies need.
+    serves C. A query only takes part in the scans its strategies need, and a scan that no
+    ``possible`` strategy needs is left out.
     """
-    unknown = F.filter("strategies", lambda s: ~s.isin(*STRATEGIES))
+    unknown = F.filter("strategies", lambda s: ~s.isin(*possible))
     checked = F.when(F.size(unknown) == 0, F.col("strategies")).otherwise(
         F.raise_error(F.concat(F.lit("unknown strategy: "), F.concat_ws(", ", unknown)))
     )
     queries = queries.withColumn("strategies", checked)
     vectors = embed_queries(queries, encoder)
-    filters_on = F.arrays_overlap("strategies", F.array(F.lit("B"), F.lit("B_prime")))
-    by_text = vectors.filter(F.array_contains("strategies", "A") | filters_on)
-    by_context = vectors.filter(F.array_contains("strategies", "C"))
-    pool = _pool(corpus, by_text, k * POOL_FACTOR, "text_vec", encoder.dim)
-    context = _pool(corpus, by_context, k, "mice_vec", encoder.dim)
-    ranked = _text_hits(pool, queries, k).unionByName(
-        context.withColumn("strategy", F.lit("C")).select(*_RANKED)
-    )
+    on_text = [s for s in ("A", "B", "B_prime") if s in possible]
+    if on_text and "C" in possible:
+        # Both tracks read the query vectors: encode once.
+        vectors = materialise(vectors, "query-vectors")
+    parts = []
+    if on_text:
+        wanted = F.arrays_overlap("strategies", F.array(*[F.lit(s) for s in on_text]))
+        pool = _pool(corpus, vectors.filter(wanted), k * POOL_FACTOR, "text_vec", encoder.dim)
+        parts.append(_text_hits(pool, queries, k))
+    if "C" in possible:
+        wanted = F.array_contains("strategies", "C")
+        context = _pool(corpus, vectors.filter(wanted), k, "mice_vec", encoder.dim)
+        parts.append(context.withColumn("strategy", F.lit("C")).select(*_RANKED))
+    ranked = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return _with_text(corpus, ranked)
 
 
@@ -150,12 +157,12 @@ def strategy_a(corpus, queries, encoder, k: int = TOP_K) -> DataFrame:
 
 def strategy_b(corpus, queries, encoder, k: int = TOP_K) -> DataFrame:
     """Pool of 20 k, then the metadata filter, then the first k. May return fewer."""
-    return retrieve(corpus, with_strategies(queries, "B"), encoder, k)
+    return retrieve(corpus, with_strategies(queries, "B"), encoder, k, ("B",))
 
 
 def strategy_b_prime(corpus, queries, encoder, k: int = TOP_K) -> DataFrame:
     """Computes what B computes under its own name."""
-    return retrieve(corpus, with_strategies(queries, "B_prime"), encoder, k)
+    return retrieve(corpus, with_strategies(queries, "B_prime"), encoder, k, ("B_prime",))
 
 
 def strategy_c(corpus, queries, encoder, k: int = TOP_K) -> DataFrame:
