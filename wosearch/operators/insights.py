@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wosearch.config import EVAL_KS, STRATEGIES
+from wosearch.operators.metrics import rounded
 
 
 def gain_classes(rows: DataFrame, limit: float = 0.05) -> DataFrame:
@@ -72,10 +73,10 @@ def best_overall(metrics: DataFrame, k: int = 10) -> DataFrame:
 
 def metrics_reference(metrics: DataFrame) -> DataFrame:
     """Flat metrics rounded for display."""
-    flat = {c: F.round(c, 4) for c in ("recall_1", "recall_5", "recall_10", "mrr", "ndcg_10")}
+    flat = {c: rounded(c, 4) for c in ("recall_1", "recall_5", "recall_10", "mrr", "ndcg_10")}
     return metrics.select(
         "strategy", *[v.alias(c) for c, v in flat.items()],
-        F.round("avg_latency_ms", 1).alias("avg_latency_ms"),
+        rounded("avg_latency_ms", 1).alias("avg_latency_ms"),
     )
 
 

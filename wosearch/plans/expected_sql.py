@@ -387,6 +387,11 @@ def _types(prefix: str, condition: str) -> str:
         for m in ("recall", "ndcg") for k in _KS)
 
 
+def _millis(x: str) -> str:
+    """Three digits; a mean of exactly x.xxx5 must not fall to the order of summation."""
+    return f"round(round({x}, 12), 3)"
+
+
 _SEMANTIC, _CONSTRAINED = "query_type = 'semantic'", "query_type <> 'semantic'"
 
 _STATEMENTS = {
@@ -413,13 +418,13 @@ _STATEMENTS = {
     "metrics_json_sink": f"""
       SELECT strategy, count(*) AS n_queries, round(avg(mrr), 6) AS mrr, {_AVERAGES},
              {_types('semantic', _SEMANTIC)}, {_types('constrained', _CONSTRAINED)},
-             round(any_value(mean_ms), 3) AS mean_ms, round(any_value(std_ms), 3) AS std_ms,
-             round(any_value(p95_ms), 3) AS p95_ms
+             {_millis('any_value(mean_ms)')} AS mean_ms, {_millis('any_value(std_ms)')} AS std_ms,
+             {_millis('any_value(p95_ms)')} AS p95_ms
       FROM per_query JOIN latency USING (strategy) GROUP BY strategy""",
-    "metrics_json_scan": """
+    "metrics_json_scan": f"""
       SELECT strategy, round(recall_1, 6) AS recall_1, round(recall_5, 6) AS recall_5,
              round(recall_10, 6) AS recall_10, round(mrr, 6) AS mrr,
-             round(ndcg_10, 6) AS ndcg_10, round(avg_latency_ms, 3) AS avg_latency_ms FROM means""",
+             round(ndcg_10, 6) AS ndcg_10, {_millis('avg_latency_ms')} AS avg_latency_ms FROM means""",
     "comparison_csv_sink": "FROM export",
     "comparison_csv_scan": "FROM export",
     "vector_text_pairs": "SELECT vec_id, text, len(embedding) AS dim "
@@ -721,7 +726,7 @@ _STATEMENTS = {
         f"ORDER BY recall_10 DESC, {_PLACE} LIMIT 1",
     "metrics_reference": "SELECT strategy, " + ", ".join(
         f"round({c}, 4) AS {c}" for c in ("recall_1", "recall_5", "recall_10", "mrr", "ndcg_10"))
-        + ", round(avg_latency_ms, 1) AS avg_latency_ms FROM means",
+        + ", round(round(avg_latency_ms, 12), 1) AS avg_latency_ms FROM means",
     "overlap_summary": "FROM overlap",
     "unique_hits": "SELECT query_id, min(strategy) AS strategy, woid FROM hits "
         "GROUP BY query_id, woid HAVING count(DISTINCT strategy) = 1",
