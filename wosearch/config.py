@@ -33,7 +33,7 @@ MIN_QUERY_CHARS = 10
 # queries than this go through the block join of operators/search.py instead.
 PROBE_BLOCK_ROWS = 4096
 PROBE_BLOCK_BYTES = 64 << 20
-CORPUS_BLOCK_ROWS = 200_000
+CORPUS_BLOCK_ROWS = 20_000
 SCORE_CELLS = 4_000_000
 
 # Global numbering: rows per bucket (see operators/numbering.py).
