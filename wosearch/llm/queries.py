@@ -5,17 +5,35 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wosearch.llm import packing
+from wosearch.llm import packing, pii
 from wosearch.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_spans(docs).select("doc_id", "pii_spans")
+    spans = F.col("pii_spans")
+    base = [kind.name for kind in pii.KINDS if kind.base]
+    return found.select(
+        "doc_id",
+        *(pii.count_of(spans, kind).alias(f"n_{kind}") for kind in base),
+        F.sha2(pii.digest(F.filter(spans, lambda s: s["kind"].isin(*base))), 256)
+        .alias("base_sha256"),
+        pii.digest(spans).alias("spans"),
+        F.coalesce(F.array_max(F.transform(spans, lambda s: s["score"])), F.lit(0.0))
+        .alias("top_score"),
+    )
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 LLM_QUERIES: dict[str, Query] = {
+    "op5_pii": op5_pii,
     "op6_packing": op6_packing,
 }
