@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wosearch.llm import packing, pii
+from wosearch.llm import mixing, packing, pii
 from wosearch.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken", "first_slot"
+    )
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find_spans(docs).select("doc_id", "pii_spans")
@@ -34,6 +40,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Query] = {
+    "op3_mixing": op3_mixing,
     "op5_pii": op5_pii,
     "op6_packing": op6_packing,
 }
