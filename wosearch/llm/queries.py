@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wosearch.llm import mixing, packing, pii
+from wosearch.llm import mixing, packing, pii, secrets
 from wosearch.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,8 +39,21 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"].isin(*secrets.BASE))
+    return secrets.find_secrets(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *(F.size(F.filter(spans, lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}")
+          for kind in secrets.BASE),
+        F.sha2(secrets.digest(base), 256).alias("base_sha256"),
+        secrets.digest(spans).alias("spans"),
+    )
+
+
 LLM_QUERIES: dict[str, Query] = {
     "op3_mixing": op3_mixing,
     "op5_pii": op5_pii,
     "op6_packing": op6_packing,
+    "op8_secrets": op8_secrets,
 }
