@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wosearch.llm import mixing, packing, pii, secrets
+from wosearch.llm import mixing, packing, pii, secrets, simhash
 from wosearch.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,9 +51,16 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
 LLM_QUERIES: dict[str, Query] = {
     "op3_mixing": op3_mixing,
     "op5_pii": op5_pii,
     "op6_packing": op6_packing,
     "op8_secrets": op8_secrets,
+    "op10_simhash": op10_simhash,
 }
