@@ -44,8 +44,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter(spans, lambda s: s["kind"].isin(*secrets.BASE))
     return secrets.find_secrets(table(spark, sf_dir, "documents")).select(
         "doc_id",
-        *(F.size(F.filter(spans, lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}")
-          for kind in secrets.BASE),
+        *(secrets.count_of(spans, kind).alias(f"n_{kind}") for kind in secrets.BASE),
         F.sha2(secrets.digest(base), 256).alias("base_sha256"),
         secrets.digest(spans).alias("spans"),
     )
