@@ -7,12 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wosearch.llm import mixing, packing, pii, secrets, simhash
-from wosearch.llm.common import table
+from wosearch.llm import mixing, packing, pii, secrets, simhash, toxicity
+from wosearch.llm.common import is_held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", is_held_out(F.col("doc_id"), toxicity.FOLDS).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken", "first_slot"
@@ -57,6 +66,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Query] = {
+    "op2_toxicity": op2_toxicity,
     "op3_mixing": op3_mixing,
     "op5_pii": op5_pii,
     "op6_packing": op6_packing,
