@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wosearch.llm import mixing, packing, pii, secrets, simhash, toxicity
+from wosearch.llm import html_text, mixing, packing, pii, secrets, simhash, toxicity
 from wosearch.llm.common import is_held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id"
@@ -71,5 +75,6 @@ LLM_QUERIES: dict[str, Query] = {
     "op5_pii": op5_pii,
     "op6_packing": op6_packing,
     "op8_secrets": op8_secrets,
+    "op9_html": op9_html,
     "op10_simhash": op10_simhash,
 }
