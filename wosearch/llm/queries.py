@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wosearch.llm import html_text, mixing, packing, pii, secrets, simhash, toxicity
+from wosearch.llm import html_text, mixing, packing, pii, secrets, simhash, spotsigs, toxicity
 from wosearch.llm.common import is_held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_edits(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -70,6 +74,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Query] = {
+    "op1_spotsigs": op1_spotsigs,
     "op2_toxicity": op2_toxicity,
     "op3_mixing": op3_mixing,
     "op5_pii": op5_pii,
