@@ -39,7 +39,7 @@ def parts(
         columns = list(batch.columns)
         columns[text] = pc.fill_null(columns[text], "").cast(pa.large_string())
         size = pc.binary_length(columns[text]).to_numpy().astype(np.int64)
-        part = np.cumsum(size) // most_bytes
+        part = np.cumsum(size + 64) // most_bytes  # so rows are bounded, too
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(size)]
         for start, end in zip(cuts, cuts[1:]):
             if end > start:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wosearch.llm import html_text, mixing, packing, pii, secrets, simhash, spotsigs, toxicity
+from wosearch.llm import html_text, mixing, ngram_model, packing, pii, secrets, simhash, spotsigs, toxicity
 from wosearch.llm.common import is_held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_ngram_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_model.score(table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find_spans(docs).select("doc_id", "pii_spans")
@@ -77,6 +81,7 @@ LLM_QUERIES: dict[str, Query] = {
     "op1_spotsigs": op1_spotsigs,
     "op2_toxicity": op2_toxicity,
     "op3_mixing": op3_mixing,
+    "op4_ngram_model": op4_ngram_model,
     "op5_pii": op5_pii,
     "op6_packing": op6_packing,
     "op8_secrets": op8_secrets,

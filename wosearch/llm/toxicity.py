@@ -43,7 +43,7 @@ MIN_ERRORS = 3.0
 REGULARISATION = 0.003
 ITERATIONS = 25
 FOLDS = 5
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -61,15 +61,13 @@ def ngrams(texts: Iterable[str]) -> tuple[np.ndarray, list[np.ndarray]]:
     codes = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     docs = np.repeat(np.arange(len(lowered)), list(map(len, lowered)))
     out = []
-    for order in ORDERS:
-        n = max(len(codes) - order + 1, 0)
-        h = np.full(n, order, dtype=np.uint32)
-        for i in range(order):
-            h *= np.uint32(0x01000193)
-            h ^= codes[i:i + n]
-            h ^= h >> np.uint32(15)
-        h *= np.uint32(0x9E3779B1)
-        out.append(h >> np.uint32(32 - BUCKET_BITS))
+    h = np.zeros(len(codes), dtype=np.uint32)
+    for i in range(max(ORDERS)):  # h: hash of the first i + 1 characters from each position
+        h = h[:max(len(codes) - i, 0)] * np.uint32(0x01000193)
+        h ^= codes[i:]
+        h ^= h >> np.uint32(15)
+        if i + 1 in ORDERS:
+            out.append(((h ^ np.uint32(i)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BUCKET_BITS))
     return docs, out
 
 
