@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wosearch.llm import html_text, mixing, ngram_model, packing, pii, secrets, simhash, spotsigs, toxicity
+from wosearch.llm import html_text, lattice, mixing, ngram_model, packing, pii, secrets, simhash, spotsigs, toxicity
 from wosearch.llm.common import is_held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.link(table(spark, sf_dir, "embeddings"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.col("spans")
     base = F.filter(spans, lambda s: s["kind"].isin(*secrets.BASE))
@@ -84,6 +88,7 @@ LLM_QUERIES: dict[str, Query] = {
     "op4_ngram_model": op4_ngram_model,
     "op5_pii": op5_pii,
     "op6_packing": op6_packing,
+    "op7_lattice": op7_lattice,
     "op8_secrets": op8_secrets,
     "op9_html": op9_html,
     "op10_simhash": op10_simhash,
