@@ -1,4 +1,64 @@
-"""The corpus pipeline: stages over documents, each written and read again by the next."""
+"""The corpus pipeline: clean, distinct, redacted, mixed and packed training data.
 
-STAGES = []
+STAGES lists the stages in order; each takes (spark, docs, sf_dir) and returns a DataFrame, which
+is written as Parquet and read again as the next one's docs. All but the last return the columns
+of documents. Every decision takes effect: rejected documents and near-copies are gone, personal
+data is masked, documents appear as often as the mix takes them (a document that a target cuts
+keeps its first words), and what comes out is packed into sequences.
+
+Null texts, repeated rows, empty tables and other columns are treated as the operators state.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from wosearch.llm import mixing, packing, pii, simhash, toxicity
+from wosearch.llm.common import table
+from wosearch.session import materialise
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below one half; learns from the labels of sf_dir."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.keep_clean(docs, model)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicates, the one with the smallest id."""
+    return simhash.keep_one(docs)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with <KIND> in place of personal data, and their new lengths."""
+    return pii.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix reads them."""
+    return mixing.take(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash", drop_near_copies),
+    ("pii", mask_personal_data),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+# A classifier and a tokenizer are no SQL; the tests compare the stages with brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

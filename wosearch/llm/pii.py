@@ -176,7 +176,10 @@ def count_of(spans: Column, kind: str) -> Column:
 
 
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Puts <KIND> in place of every span; of overlapping spans the first one counts."""
+    """Puts <KIND> in place of every span; of overlapping spans the first one counts.
+
+    A column n_chars, where there is one, follows the new text.
+    """
     found = find_spans(df, text_col, "__pii")
     text, spans = F.coalesce(F.col(text_col), F.lit("")), F.col("__pii")
     walked = F.aggregate(
@@ -195,4 +198,8 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
         ),
     )
     clean = F.when(F.size(spans) == 0, F.col(text_col)).otherwise(walked)
-    return found.withColumn(text_col, clean).drop("__pii")
+    masked = found.withColumn(text_col, clean).drop("__pii")
+    if "n_chars" in df.columns:
+        n = F.coalesce(F.length(text_col), F.lit(0)).cast(df.schema["n_chars"].dataType)
+        masked = masked.withColumn("n_chars", n)
+    return masked.select(*df.columns)

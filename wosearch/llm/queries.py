@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wosearch.llm import html_text, lattice, mixing, ngram_model, packing, pii, secrets, simhash, spotsigs, toxicity
+import corpus_pipeline
+from wosearch.llm import (
+    html_text, lattice, mixing, ngram_model, packing, pii, secrets, simhash, spotsigs, toxicity,
+)
 from wosearch.llm.common import is_held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +84,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 LLM_QUERIES: dict[str, Query] = {
     "op1_spotsigs": op1_spotsigs,
     "op2_toxicity": op2_toxicity,
@@ -92,4 +99,5 @@ LLM_QUERIES: dict[str, Query] = {
     "op8_secrets": op8_secrets,
     "op9_html": op9_html,
     "op10_simhash": op10_simhash,
+    "pipeline": pipeline,
 }
