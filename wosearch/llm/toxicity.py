@@ -35,12 +35,12 @@ from pyspark.sql import functions as F
 from wosearch.llm.common import is_held_out, parts
 from wosearch.session import materialise
 
-ORDERS = (4, 5, 6, 8)
-BUCKET_BITS = 22
-TRAIN_ROWS = 12_000
+ORDERS = (4, 6, 8)
+BUCKET_BITS = 21
+TRAIN_ROWS = 8_000
 MIN_DOCS = 4
 MIN_ERRORS = 3.0
-REGULARISATION = 0.003
+REGULARISATION = 0.001
 ITERATIONS = 25
 FOLDS = 5
 BATCH_BYTES = 1 << 20
@@ -48,11 +48,18 @@ BATCH_BYTES = 1 << 20
 
 @dataclass(frozen=True)
 class Model:
-    """Bias, and weight times scale of every bucket."""
+    """Bias, the buckets that matter, and their weights times scales."""
 
     bias: float
+    buckets: np.ndarray
     weights: np.ndarray
 
+    def table(self) -> np.ndarray:
+        """Weight of every bucket."""
+        out = np.zeros(1 << BUCKET_BITS, dtype=np.float32)
+        out[self.buckets] = self.weights
+        return out
+
 
 def ngrams(texts: Iterable[str]) -> tuple[np.ndarray, list[np.ndarray]]:
     """Document index of each position, and for each order the bucket of the n-gram there."""
@@ -142,20 +149,18 @@ def fit(texts: DataFrame) -> Model:
     """Fits toxic, text rows."""
     spark = texts.sparkSession
     buckets, ratios, n = scales(texts)
-    weights = np.zeros(1 << BUCKET_BITS, dtype=np.float32)
     if not n.all() or not len(buckets):
         share = n[1] / n.sum() if n.sum() else 0.0
         with np.errstate(divide="ignore"):
-            return Model(float(np.log(share) - np.log1p(-share)), weights)
-    place = np.full(1 << BUCKET_BITS, -1, dtype=np.int32)
-    place[buckets] = np.arange(len(buckets))
-    shared = spark.sparkContext.broadcast((place, ratios))
+            bias = float(np.log(share) - np.log1p(-share))
+        return Model(bias, np.zeros(0, np.int64), np.zeros(0))
+    shared = spark.sparkContext.broadcast((buckets, ratios))
 
     @F.udf(VectorUDT())
     def vector(text):
-        where, ratio = shared.value
-        _, found = present([text or ""], where >= 0)
-        at = np.sort(where[found])
+        chosen, ratio = shared.value
+        _, found = present([text or ""])
+        at = np.flatnonzero(np.isin(chosen, found, assume_unique=True))
         return SparseVector(len(ratio), at, ratio[at])
 
     # The rarer class counts more, half way to balance on a logarithmic scale.
@@ -166,25 +171,25 @@ def fit(texts: DataFrame) -> Model:
     model = LogisticRegression(
         maxIter=ITERATIONS, regParam=REGULARISATION, standardization=False, weightCol="weight"
     ).fit(materialise(rows, "toxicity-features"))
-    weights[buckets] = (model.coefficients.toArray() * ratios).astype(np.float32)
     shared.unpersist()
-    return Model(float(model.intercept), weights)
+    return Model(float(model.intercept), buckets, model.coefficients.toArray() * ratios)
 
 
 def _score_task(batches: Iterable[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
-    bias, weights = shared.value
+    model = shared.value
+    weights = model.table()
     wanted = weights != 0
     for doc_ids, texts in parts(batches, BATCH_BYTES):
         docs, buckets = present(texts.to_pylist(), wanted)
         with np.errstate(over="ignore"):
-            margin = bias + np.bincount(docs, weights[buckets], minlength=len(texts))
+            margin = model.bias + np.bincount(docs, weights[buckets], minlength=len(texts))
             score = 1 / (1 + np.exp(-margin))
         yield pa.RecordBatch.from_arrays([doc_ids, pa.array(score)], names=["doc_id", "score"])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score of every row of docs (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text"))
     return narrow.mapInArrow(lambda b: _score_task(b, shared), "doc_id long, score double")
 
@@ -195,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that score below one half, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
