@@ -38,7 +38,7 @@ def found(df):
 
 @pytest.mark.parametrize("k", [1, 10, 200, 5000])
 @pytest.mark.parametrize("options", [
-    {}, {"salts": 3}, {"probe_block": 2, "corpus_block": 300},
+    {}, {"salts": 3}, {"probe_block": 2},
 ])
 def test_exact_against_brute_force(spark, k, options):
     """A third of the corpus is one vector; k may exceed the table."""
@@ -67,7 +67,15 @@ def test_bad_vectors_never_match_and_are_reported(spark):
     rows = [(0, "ok", good), (1, "nan", [float("nan")] * DIM), (2, "short", [1.0]), (3, "none", None)]
     corpus = spark.createDataFrame(rows, CORPUS)
     asked = spark.createDataFrame([(1, good)], "query_id bigint, v array<float>")
-    assert found(search(corpus, asked, 10, "v", DIM)) == {1: [0]}
+    assert found(search(corpus, asked, 10, "v", DIM, invalid="skip")) == {1: [0]}
+    with pytest.raises(Exception, match="vector size|not finite"):
+        search(corpus, asked, 10, "v", DIM).collect()
+    with pytest.raises(Exception, match="not finite"):
+        search(corpus.filter("WOID = 'nan'"), asked, 10, "v", DIM).collect()
+    bad = asked.unionByName(spark.createDataFrame([(2, [float("nan")] * DIM)], asked.schema))
+    assert found(search(corpus, bad, 10, "v", DIM, invalid="skip")) == {1: [0]}
+    with pytest.raises(Exception, match="not finite"):
+        search(corpus.filter("WOID = 'ok'"), bad, 10, "v", DIM)
     kept, rejected = split_by_validity(corpus, "v", DIM)
     assert [r.WOID for r in kept.collect()] == ["ok"]
     assert {r.WOID for r in rejected.collect()} == {"nan", "short", "none"}
@@ -75,6 +83,16 @@ def test_bad_vectors_never_match_and_are_reported(spark):
         corpus.select(checked_dim(F.col("v"), DIM)).collect()
 
 
+def test_blocks_of_queries_with_another_key(spark):
+    """More queries than a block holds, on a table without a position column."""
+    rows = random_rows(300, copies=100)
+    corpus = spark.createDataFrame([(i, v) for i, _, v in rows], "id bigint, v array<float>")
+    probes = [(q, v) for q, _, v in random_rows(9, seed=4)]
+    asked = spark.createDataFrame(probes, "query_id bigint, v array<float>")
+    got = search(corpus, asked, 5, "v", DIM, ("id",), probe_block=2).withColumnRenamed("id", "ingest_seq")
+    assert found(got) == brute([(i, "", v) for i, _, v in rows], probes, 5)
+
+
 def test_no_queries_and_no_rows(spark):
     corpus = spark.createDataFrame(random_rows(10), CORPUS)
     none = spark.createDataFrame([], "query_id bigint, v array<float>")
@@ -214,6 +232,26 @@ def test_forced_strategy_keeps_the_filter(spark, table):
     assert {r.strategy for r in forced.collect()} == {"C"}
 
 
+def test_two_scans_keep_their_texts(spark, table, tmp_path):
+    """Positions repeat between scans; every hit still gets its own text."""
+    from wosearch.sources.vector_table import append_vectors, open_vectors
+
+    corpus, _, encoder = table
+    path = str(tmp_path / "vectors")
+    for scan in ("first", "second"):
+        part = corpus.withColumns({
+            "WOID": F.concat(F.lit(scan + "-"), "WOID"),
+            "WODescription": F.concat(F.lit(scan + ": "), "WODescription"),
+            **{c: F.lit("") for c in ("WOStartDate", "WOEndDate", "text_repr", "mice_repr")},
+        })
+        append_vectors(part, path)
+    asked = spark.createDataFrame([(1, "pump leak", None, None, None)], QUERIES)
+    hits = strategies.strategy_a(open_vectors(spark, path), asked, encoder, 30).collect()
+    scans = {r.woid.split("-")[0] for r in hits}
+    assert scans == {"first", "second"}
+    assert all(r.wo_description.startswith(r.woid.split("-")[0] + ": ") for r in hits)
+
+
 def test_appended_twice_gives_one_hit_per_id(spark, table):
     corpus, rows, encoder = table
     asked = spark.createDataFrame([(1, "pump leak roof", None, None, None)], QUERIES)

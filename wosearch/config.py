@@ -3,6 +3,7 @@
 # Vectors
 EMBEDDING_DIM = 768
 ENCODE_BATCH = 128
+# Instruction prefixes of query texts.
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 CONTEXT_QUERY_PREFIX = "work order description: "
 
@@ -30,10 +31,9 @@ MIN_RELEVANT = 2
 MIN_QUERY_CHARS = 10
 
 # Search execution. A block of queries travels to every task, so it is bounded; more
-# queries than this go through the block join of operators/search.py instead.
+# queries than this come as several blocks.
 PROBE_BLOCK_ROWS = 4096
 PROBE_BLOCK_BYTES = 64 << 20
-CORPUS_BLOCK_ROWS = 20_000
 SCORE_CELLS = 4_000_000
 
 # Global numbering: rows per bucket (see operators/numbering.py).

@@ -34,7 +34,9 @@ def browse(
 
 def lookup(df: DataFrame, woid: str) -> DataFrame:
     """The first stored row of a WOID, vectors included when the table has them."""
-    same = strip(F.col("WOID")) == woid.strip()
+    # The first test is implied by the second and reaches the scan.
+    wanted = woid.strip()
+    same = F.col("WOID").contains(wanted) & (strip(F.col("WOID")) == wanted)
     return df.filter(same).orderBy(SEQ).limit(1)
 
 

@@ -7,6 +7,7 @@ row) pair outside a top-k ever becomes a Spark row, and the corpus itself is not
 """
 
 import sys
+from functools import reduce
 from math import ceil, isqrt
 
 import numpy as np
@@ -17,10 +18,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wosearch.config import (
-    CORPUS_BLOCK_ROWS, PROBE_BLOCK_BYTES, PROBE_BLOCK_ROWS, SCORE_CELLS,
-)
+from wosearch.config import PROBE_BLOCK_BYTES, PROBE_BLOCK_ROWS, SCORE_CELLS
+from wosearch.functions.vectors import is_valid
 from wosearch.schema import SEQ
+from wosearch.session import new_path, remove
 
 TIE_BREAK = ("WOID", SEQ)
 
@@ -64,12 +65,15 @@ def _vectors(column, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def _score_batches(batches, ids, queries, vector, k, tie_break, kept, dim):
+def _score_batches(batches, ids, queries, vector, k, tie_break, kept, dim, strict):
     state = _BestRows(queries, k)
     for whole in batches:
         for start in range(0, whole.num_rows, state.rows_at_once):
             batch = _ordered(whole.slice(start, state.rows_at_once), tie_break)
-            query, row, score = state.select(_vectors(batch.column(vector), dim))
+            vectors = _vectors(batch.column(vector), dim)
+            if strict and not np.isfinite(vectors).all():
+                raise ValueError("a stored vector is not finite")
+            query, row, score = state.select(vectors)
             rows = batch.select(kept).take(pa.array(row))
             yield pa.RecordBatch.from_arrays(
                 [ids.take(pa.array(query)), pa.array(score), *rows.columns],
@@ -93,34 +97,21 @@ def _merge(candidates: DataFrame, k: int, tie_break, salts: int) -> DataFrame:
     return ranked.filter(F.col("pool_rank") <= k)
 
 
-def _block_join(corpus, probes, block_rows, corpus_rows, make_scan, kept, schema):
-    """Search for query sets beyond one block. Corpus and queries are cut into blocks of
-    bounded size and every pair of blocks meets in one group, once.
-    """
-    probe_blocks = ceil(probes.count() / block_rows) + 1
-    corpus_blocks = ceil(corpus.count() / corpus_rows) + 1
-
-    def spread(df, own, own_blocks, other, other_blocks, key):
-        return df.withColumns({
-            own: F.pmod(F.xxhash64(key), F.lit(own_blocks)).cast("int"),
-            other: F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1))),
-        })
-
-    rows = spread(corpus, "_cb", corpus_blocks, "_pb", probe_blocks, F.col(SEQ))
-    queries = spread(probes, "_pb", probe_blocks, "_cb", corpus_blocks, F.col("query_id"))
-
-    def pair(both: pa.Table) -> pa.Table:
-        is_row = pc.is_null(both.column("query_id"))
-        block, part = both.filter(pc.invert(is_row)), both.filter(is_row)
-        if block.num_rows and part.num_rows:
-            return pa.Table.from_batches(make_scan(block)(part.to_batches()))
-        nothing = both.slice(0, 0)
-        columns = [nothing.column("query_id"), pa.array([], pa.float32())]
-        columns += [nothing.column(c) for c in kept]
-        return pa.Table.from_arrays(columns, names=["query_id", "score", *kept])
+def _query_blocks(probes: DataFrame, limit: int):
+    """Query vectors in blocks of at most ``limit`` rows, one at a time on the driver.
 
-    both = rows.unionByName(queries, allowMissingColumns=True)
-    return both.groupBy("_cb", "_pb").applyInArrow(pair, schema)
+    They are written first, so every query text is encoded once.
+    """
+    spark, path = probes.sparkSession, new_path(probes.sparkSession, "query-vectors")
+    probes.write.parquet(path)
+    written = spark.read.schema(probes.schema).parquet(path)
+    parts = max(1, ceil(2 * written.count() / limit))
+    placed = written.withColumn("_part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
+    for part in range(parts):
+        rows = placed.filter(F.col("_part") == part).drop("_part").toArrow()
+        for start in range(0, rows.num_rows, limit):
+            yield rows.slice(start, limit)
+    remove(spark, path)
 
 
 def search(
@@ -132,41 +123,55 @@ def search(
     tie_break=TIE_BREAK,
     salts: int | None = None,
     probe_block: int = PROBE_BLOCK_ROWS,
-    corpus_block: int = CORPUS_BLOCK_ROWS,
+    invalid: str = "error",
 ) -> DataFrame:
     """Exact top-k rows of ``corpus`` for every row of ``probes`` (query_id, vector).
 
     Returns query_id, score, the corpus columns without vectors and ``pool_rank``. Equal
-    scores rank by ``tie_break``. Rows without a usable vector never match. A table with
-    fewer than k rows gives fewer hits.
+    scores rank by ``tie_break``. A null vector matches nothing. A vector of another size, or
+    with a NaN or infinite element, fails the job; with ``invalid="skip"`` it matches nothing
+    (split_by_validity lists such rows). A table with fewer than k rows gives fewer hits.
+
+    Query sets of any size take the same way: the corpus is scanned once per block of queries.
     """
     spark = corpus.sparkSession
     kept = [f.name for f in corpus.schema if not isinstance(f.dataType, T.ArrayType)]
-    usable = corpus.filter(F.size(vector) == dim).select(*kept, vector)
-    probes = probes.filter(F.size(vector) == dim).select("query_id", vector)
+    wrong = F.lit(False) if invalid == "skip" else F.raise_error(
+        F.concat(F.lit(f"vector size is not {dim}: "), F.size(vector).cast("string"))
+    ).cast("boolean")
+
+    def sized(df: DataFrame) -> DataFrame:
+        return df.filter(
+            F.when(F.col(vector).isNull(), False).when(F.size(vector) == dim, True).otherwise(wrong)
+        )
+
+    usable = sized(corpus).select(*kept, vector)
+    finite = F.when(is_valid(F.col(vector), dim), True).otherwise(
+        F.lit(False) if invalid == "skip"
+        else F.raise_error(F.lit("query vector is not finite")).cast("boolean")
+    )
+    probes = sized(probes).select("query_id", vector).filter(finite)
     schema = T.StructType(
         [probes.schema["query_id"], T.StructField("score", T.FloatType())]
         + [corpus.schema[c] for c in kept]
     )
     tie_break = list(tie_break)
     limit = min(probe_block, max(1, PROBE_BLOCK_BYTES // (8 * dim)))
+    strict = invalid != "skip"
 
-    def scan_with(block):
-        ids = block.column("query_id").combine_chunks()
-        queries = _vectors(block.column(vector).combine_chunks(), dim)
-        return lambda batches: _score_batches(
-            batches, ids, queries, vector, k, tie_break, kept, dim
-        )
+    def candidates_of(block: pa.Table) -> DataFrame:
+        shared = spark.sparkContext.broadcast(block)  # ``limit`` rows at most
+
+        def scan(batches):
+            queries = shared.value
+            ids = queries.column("query_id").combine_chunks()
+            vectors = _vectors(queries.column(vector).combine_chunks(), dim)
+            return _score_batches(batches, ids, vectors, vector, k, tie_break, kept, dim, strict)
+
+        return usable.mapInArrow(scan, schema)
 
-    # One row more than fits tells whether the query set is small enough to travel.
-    block = probes.limit(limit + 1).toArrow()
-    if block.num_rows == 0:
-        candidates = spark.createDataFrame([], schema)
-    elif block.num_rows <= limit:
-        shared = spark.sparkContext.broadcast(block)
-        candidates = usable.mapInArrow(lambda batches: scan_with(shared.value)(batches), schema)
-    else:
-        candidates = _block_join(usable, probes, limit, corpus_block, scan_with, kept, schema)
+    found = [candidates_of(block) for block in _query_blocks(probes, limit)]
+    candidates = reduce(DataFrame.union, found) if found else spark.createDataFrame([], schema)
     if salts is None:
         slots = spark.sparkContext.defaultParallelism
         salts = 1 if slots <= 64 else isqrt(slots)

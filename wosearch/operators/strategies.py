@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from wosearch.config import POOL_FACTOR, STRATEGIES, TOP_K
 from wosearch.operators.encoding import Encoder, embed_queries
-from wosearch.operators.search import search
-from wosearch.schema import SEQ
+from wosearch.operators.search import TIE_BREAK, search
+from wosearch.schema import BATCH, SEQ
 from wosearch.session import materialise
 
 FILTERS = ("building_id", "building_type", "equipment")
@@ -19,8 +19,17 @@ HIT_COLUMNS = (
     "wo_type", "equipment", "wo_description",
 )
 # What ranking and filtering need; long text joins the final hits only.
-_KEYS = (SEQ, "WOID", "BuildingID", "Type", "equipment")
-_RANKED = ("query_id", "strategy", "rank", "score", SEQ, "woid", "building_id", "wo_type", "equipment")
+_KEYS = (BATCH, SEQ, "WOID", "BuildingID", "Type", "equipment")
+_RANKED = (
+    "query_id", "strategy", "rank", "score", BATCH, SEQ, "woid", "building_id", "wo_type",
+    "equipment",
+)
+
+
+def _keyed(corpus: DataFrame) -> DataFrame:
+    """The corpus with a batch id on every row; a table of one scan may lack it."""
+    batch = F.coalesce(BATCH, F.lit("")) if BATCH in corpus.columns else F.lit("")
+    return corpus.withColumn(BATCH, batch)
 
 
 def matches_filter(building_id, building_type, equipment, row: dict) -> Column:
@@ -55,9 +64,11 @@ def drop_repeated_woids(hits: DataFrame, *keys: str, order=None) -> DataFrame:
 
 def _pool(corpus: DataFrame, queries: DataFrame, k: int, vector: str, dim: int) -> DataFrame:
     """Top-k hits per query, one per WOID, still carrying their rank in the table."""
-    found = search(corpus.select(*_KEYS, vector), queries, k, vector, dim)
+    found = search(
+        _keyed(corpus).select(*_KEYS, vector), queries, k, vector, dim, (*TIE_BREAK, BATCH)
+    )
     hits = found.select(
-        "query_id", "score", "pool_rank", SEQ, F.col("WOID").alias("woid"),
+        "query_id", "score", "pool_rank", BATCH, SEQ, F.col("WOID").alias("woid"),
         F.col("BuildingID").alias("building_id"), F.col("Type").alias("wo_type"), "equipment",
     )
     return drop_repeated_woids(hits, "query_id", order=["pool_rank"])
@@ -71,13 +82,13 @@ def _with_text(corpus: DataFrame, ranked: DataFrame) -> DataFrame:
     """
     ranked = materialise(ranked.select(*_RANKED), "ranked")
     texts = (
-        corpus.select(
-            SEQ, F.col("BuildingName").alias("building_name"),
+        _keyed(corpus).select(
+            BATCH, SEQ, F.col("BuildingName").alias("building_name"),
             F.col("WODescription").alias("wo_description"),
         )
-        .join(ranked.select(SEQ), SEQ, "left_semi").dropDuplicates([SEQ])
+        .join(ranked.select(BATCH, SEQ), [BATCH, SEQ], "left_semi").dropDuplicates([BATCH, SEQ])
     )
-    return ranked.join(texts, SEQ).select(*HIT_COLUMNS)
+    return ranked.join(texts, [BATCH, SEQ]).select(*HIT_COLUMNS)
 
 
 def _text_hits(pool: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -129,9 +140,6 @@ def retrieve(
     queries = queries.withColumn("strategies", checked)
     vectors = embed_queries(queries, encoder)
     on_text = [s for s in ("A", "B", "B_prime") if s in possible]
-    if on_text and "C" in possible:
-        # Both tracks read the query vectors: encode once.
-        vectors = materialise(vectors, "query-vectors")
     parts = []
     if on_text:
         wanted = F.arrays_overlap("strategies", F.array(*[F.lit(s) for s in on_text]))

@@ -2,6 +2,8 @@
 
 from pyspark.sql import types as T
 
+# The names of columns and fields in files.
+
 RAW_COLUMNS = (
     "BuildingID", "BuildingName", "Type", "WOID", "WODescription",
     "WOStartDate", "WOEndDate", "SystemDescription",
@@ -11,6 +13,8 @@ CLEAN_COLUMNS = (
     "WOStartDate", "WOEndDate", "equipment",
 )
 SEQ = "ingest_seq"
+# Which append a stored row came with; with ``SEQ`` it is unique in a vector table.
+BATCH = "batch_id"
 TRACKS = {"text": "text_vec", "mice": "mice_vec"}
 
 
@@ -26,6 +30,7 @@ VECTOR_TABLE_SCHEMA = T.StructType(
     CLEAN_SCHEMA.fields
     + [T.StructField("text_repr", T.StringType()), T.StructField("mice_repr", T.StringType())]
     + [T.StructField(c, VECTOR_TYPE) for c in TRACKS.values()]
+    + [T.StructField(BATCH, T.StringType())]
 )
 METRICS_SCHEMA = T.StructType([
     T.StructField("strategy", T.StringType()),

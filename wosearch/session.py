@@ -39,10 +39,28 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, most: int = 32) -> DataFrame:
-    """Spread a table that was read from a handful of files over the free cores.
+def _hadoop_path(spark: SparkSession, path: str):
+    """The path and its file system, whatever store it is in."""
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(sc._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where, store = _hadoop_path(spark, path)
+    return store.exists(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table once its rows were used."""
+    where, store = _hadoop_path(spark, path)
+    store.delete(where, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a table that was read from fewer splits than there are cores over the cores.
 
     A table with more splits than that is left alone: no shuffle.
     """
-    wanted = min(most, df.sparkSession.sparkContext.defaultParallelism)
+    wanted = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df

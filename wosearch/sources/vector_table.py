@@ -1,17 +1,24 @@
 """The vector table: metadata and both vector tracks of a work order in one Parquet row."""
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wosearch.schema import VECTOR_TABLE_SCHEMA
+from wosearch.schema import BATCH, VECTOR_TABLE_SCHEMA
+from wosearch.session import exists
 
 _COLUMNS = VECTOR_TABLE_SCHEMA.names
 
 
-def append_vectors(df: DataFrame, path: str) -> None:
-    """Append rows with their vectors. Both tracks arrive together or not at all."""
-    df.select(*_COLUMNS).write.mode("append").parquet(path)
+def append_vectors(df: DataFrame, path: str, batch: str | None = None) -> None:
+    """Append rows with their vectors. Both tracks arrive together or not at all.
+
+    Positions repeat between scans, so every append carries a batch id of its own.
+    """
+    marked = df.withColumn(BATCH, F.lit(batch or uuid.uuid4().hex))
+    marked.select(*_COLUMNS).write.mode("append").parquet(path)
 
 
 def open_vectors(spark: SparkSession, path: str, required: bool = False) -> DataFrame:
@@ -25,8 +32,12 @@ def open_vectors(spark: SparkSession, path: str, required: bool = False) -> Data
 
 
 def write_stage(df: DataFrame, path: str) -> DataFrame:
-    """Write a stage once; a later run finds the output and leaves it as it is."""
-    df.write.mode("ignore").parquet(path)
+    """Write a stage once; a later run finds the complete output and leaves it as it is.
+
+    An output without its success mark was interrupted and is written anew.
+    """
+    if not exists(df.sparkSession, f"{path}/_SUCCESS"):
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

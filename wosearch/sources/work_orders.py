@@ -1,5 +1,7 @@
 """Work orders in CSV files."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,14 +13,29 @@ from wosearch.schema import CLEAN_COLUMNS, RAW_COLUMNS, SEQ, string_schema
 _DIALECT = {"header": True, "quote": '"', "escape": '"'}
 
 
-def _with_file_order(df: DataFrame) -> DataFrame:
+def _headers(spark: SparkSession, path) -> dict[str, list[str]]:
+    """Files by the text of their first line.
+
+    One scan of the lines finds the header of every file; the result has a row per file.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.monotonically_increasing_id().alias("at"),
+        F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_path").alias("file"),
+    )
+    firsts = lines.filter("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    groups: dict[str, list[str]] = {}
+    for row in firsts.orderBy("file").collect():
+        groups.setdefault(row["header"], []).append(row["file"])
+    return groups
+
+
+def _with_file_order(df: DataFrame, files: list[str]) -> DataFrame:
     """Add the position in file order as a bigint.
 
-    Files rank by path. Inside a file the number is the byte offset of the split plus the
+    ``files`` is the whole scan's list. Files rank by path. Inside a file the number is the byte offset of the split plus the
     row position in the task: unique and ascending, because a row takes at least one byte
     and only the last split of a file shares a task with other files.
     """
-    files = sorted(df.inputFiles())
     ranks = df.sparkSession.createDataFrame(
         list(enumerate(files)), "file_rank bigint, file string"
     )
@@ -38,18 +55,30 @@ def _with_file_order(df: DataFrame) -> DataFrame:
 
 
 def _read_strings(spark: SparkSession, path, columns, multi_line: bool, bad_rows: str):
-    """All-string scan by header name. A short row is padded with nulls; a row with more
-    fields than the header fails the job or is skipped; a trailing delimiter is no field.
-    Columns the header lacks read as ``''``.
+    """All-string scan by header name, whatever the order of columns in a file. A short row is
+    padded with nulls; a row with more fields than the header fails the job or is skipped; a
+    trailing delimiter is no field. Columns the header lacks read as ``''``.
     """
+    files = sorted(spark.read.text(path).inputFiles())
+    groups = _headers(spark, path) if len(files) > 1 else {"": files}
+    scans = [
+        _read_group(spark, group, files, columns, multi_line, bad_rows)
+        for group in groups.values()
+    ]
+    wanted = [SEQ, *columns]
+    return reduce(DataFrame.unionByName, [scan.select(*wanted) for scan in scans])
+
+
+def _read_group(spark, group, files, columns, multi_line: bool, bad_rows: str) -> DataFrame:
+    """Files of one header."""
     options = {**_DIALECT, "multiLine": multi_line}
-    header = spark.read.options(**options).csv(path).columns
+    header = spark.read.options(**options).csv(group[0]).columns
     df = (
         spark.read.schema(string_schema([*header, "_overflow"]))
         .options(**options, enforceSchema=True)
-        .csv(path)
+        .csv(group)
     )
-    df = _with_file_order(df)
+    df = _with_file_order(df, files)
     if bad_rows == "skip":
         df = df.filter(F.col("_overflow").isNull())
     else:

@@ -11,18 +11,24 @@ from pyspark.sql.streaming import StreamingQuery
 
 from wosearch.functions.representation import with_representations
 from wosearch.operators.encoding import Encoder, embed_documents
-from wosearch.schema import CLEAN_SCHEMA, VECTOR_TABLE_SCHEMA
+from wosearch.schema import BATCH, CLEAN_SCHEMA, VECTOR_TABLE_SCHEMA
 
 
 def start_ingest(
     spark: SparkSession, source: str, table: str, checkpoint: str, encoder: Encoder,
-    chunks_per_batch: int = 1,
+    chunks_per_batch: int | None = None,
 ) -> StreamingQuery:
-    """Ingest every chunk that is not in the table yet, then stop."""
+    """Ingest every chunk that is not in the table yet, then stop.
+
+    All waiting chunks are one micro-batch unless ``chunks_per_batch`` bounds it. A chunk is
+    named by its path and is the batch of its rows.
+    """
+    reader = spark.readStream.schema(CLEAN_SCHEMA)
+    if chunks_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", chunks_per_batch)
     chunks = (
-        spark.readStream.schema(CLEAN_SCHEMA)
-        .option("maxFilesPerTrigger", chunks_per_batch).parquet(source)
-        .withColumn("chunk", F.col("_metadata.file_name"))
+        reader.parquet(source)
+        .withColumn("chunk", F.col("_metadata.file_path")).withColumn(BATCH, F.col("chunk"))
     )
     vectors = embed_documents(with_representations(chunks), encoder)
     return (
@@ -33,7 +39,7 @@ def start_ingest(
 
 def ingest_progress(source: DataFrame, table: DataFrame) -> DataFrame:
     """Rows per chunk in source and table, and whether the chunk is complete."""
-    offered = source.groupBy(F.col("_metadata.file_name").alias("chunk")).agg(
+    offered = source.groupBy(F.col("_metadata.file_path").alias("chunk")).agg(
         F.count("*").alias("rows_offered")
     )
     stored = table.groupBy("chunk").agg(F.count("*").alias("rows_stored"))
