@@ -139,7 +139,9 @@ def observations(hits: DataFrame, queries: DataFrame) -> DataFrame:
     asked = queries.select("query_id", (filters[0] | filters[1] | filters[2]).alias("has_metadata"))
     delta = F.col("n_B_prime") - F.col("n_A")
     return (
-        overlap_summary(hits).join(counts, "query_id").join(asked, "query_id")
+        # A query without hits has no overlap and diverges most.
+        asked.join(counts, "query_id", "left").join(overlap_summary(hits), "query_id", "left")
+        .na.fill(0, ["n_A", "n_B", "n_B_prime", "overlap_pct"])
         .withColumns({
             "delta_b": F.col("n_B") - F.col("n_A"),
             "delta_b_prime": delta,

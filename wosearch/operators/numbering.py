@@ -13,14 +13,11 @@ def with_row_index(
 
     Rows are numbered inside buckets of ``bucket`` consecutive order values, then shifted
     by the rows of all earlier buckets. A bucket holds at most ``bucket`` rows whatever the
-    data looks like, and the prefix sum runs over one row per non-empty bucket. ``df`` is
+    data looks like, and so does a stretch of buckets in the prefix sum over them. ``df`` is
     read twice: pass a table or a narrow plan.
     """
     keyed = df.withColumn("_bucket", F.expr(f"`{order}` div {bucket}"))
-    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = keyed.groupBy("_bucket").count().select(
-        "_bucket", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_shift")
-    )
+    shifts = _shifts(keyed.groupBy("_bucket").count(), bucket)
     inside = Window.partitionBy("_bucket").orderBy(order)
     return (
         keyed.join(shifts, "_bucket")
@@ -29,6 +26,22 @@ def with_row_index(
     )
 
 
+def _shifts(counts: DataFrame, stretch: int) -> DataFrame:
+    """Rows before each bucket, summed up in two levels: inside stretches of ``stretch``
+    consecutive buckets, and over one row per stretch.
+    """
+    before = (Window.unboundedPreceding, -1)
+    placed = counts.withColumn("_stretch", F.expr(f"_bucket div {stretch}"))
+    inner = Window.partitionBy("_stretch").orderBy("_bucket").rowsBetween(*before)
+    outer = Window.orderBy("_stretch").rowsBetween(*before)
+    stretches = placed.groupBy("_stretch").agg(F.sum("count").alias("n")).select(
+        "_stretch", F.coalesce(F.sum("n").over(outer), F.lit(0)).alias("_start")
+    )
+    return placed.withColumn("_inside", F.coalesce(F.sum("count").over(inner), F.lit(0))).join(
+        stretches, "_stretch"
+    ).select("_bucket", (F.col("_start") + F.col("_inside")).alias("_shift"))
+
+
 def chunk_sizes(df: DataFrame, order: str, rows: int) -> DataFrame:
     """Rows per consecutive chunk of ``rows`` rows in ``order``."""
     indexed = with_row_index(df.select(order), order)

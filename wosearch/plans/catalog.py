@@ -6,19 +6,20 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wosearch.config import CHUNK_ROWS, EQUIPMENT_TERMS, POOL_FACTOR, STRATEGIES, TOP_K, TYPE_TERMS
+from wosearch.config import EQUIPMENT_TERMS, POOL_FACTOR, STRATEGIES, TOP_K, TYPE_TERMS
 from wosearch.functions.representation import (
     mice_repr, preview_text, text_repr, with_representations,
 )
 from wosearch.functions.text import search_text, strict_text, strip_identifiers
-from wosearch.functions.vectors import checked_dim, dot
+from wosearch.functions.vectors import checked_dim
 from wosearch.operators import analysis, cleaning, insights, inspection, metrics, quality
 from wosearch.operators import evalset, router, strategies
 from wosearch.operators.encoding import HashEncoder, embed_documents, embed_queries, encode
 from wosearch.operators.numbering import chunk_sizes, with_row_index
 from wosearch.operators.search import neighbours, search
+from wosearch.plans.build import build_tables
 from wosearch.plans.evaluation import Evaluation, full_analysis, run_evaluation
-from wosearch.schema import CLEAN_COLUMNS, RAW_COLUMNS, SEQ
+from wosearch.schema import CLEAN_COLUMNS, RAW_COLUMNS, SEQ, TRACKS
 from wosearch.session import materialise, new_path, spread
 from wosearch.sources import results, testdata, vector_table, work_orders
 from wosearch.streaming.ingest import ingest_progress, ingest_totals, start_ingest
@@ -168,19 +169,21 @@ def csv_clean_scan(s):
 
 @query
 def chunked_scan(s):
-    return chunk_sizes(s.cleaned, SEQ, CHUNK_ROWS)
+    return chunk_sizes(s.cleaned, SEQ, 100)
 
 
 @query
 def first_rows_scan(s):
-    return work_orders.first_rows(s.cleaned, 5000)
+    return work_orders.first_rows(s.cleaned, 50)
 
 
 def _stored(table: DataFrame) -> DataFrame:
-    return table.select(
-        SEQ, "WOID", "text_repr", "mice_repr",
-        F.round(dot("text_vec", "text_vec"), 4).alias("text_length"),
-        F.round(dot("mice_vec", "mice_vec"), 4).alias("mice_length"),
+    """All cells of both tracks that are not zero."""
+    tracks = F.array(*[F.struct(F.lit(t).alias("track"), F.col(c).alias("v")) for t, c in TRACKS.items()])
+    return (
+        table.select(SEQ, "WOID", F.explode(tracks).alias("t"))
+        .select(SEQ, "WOID", "t.track", F.posexplode("t.v").alias("dimension", "value"))
+        .filter("value <> 0").withColumn("value", F.round(F.col("value").cast("double"), 6))
     )
 
 
@@ -262,7 +265,14 @@ def metrics_json_scan(s):
 
 @query
 def comparison_csv_sink(s):
-    return s.export
+    """The written file read back as plain text fields."""
+    path = s.path("comparisons-csv")
+    results.write_comparisons(s.export, path)
+    text = s.spark.read.options(header=True, quote='"', escape='"', multiLine=True, nullValue="").csv(path)
+    return text.select(*[
+        F.coalesce(F.col(f.name), F.lit("")).alias(f.name) if f.dataType.simpleString() == "string"
+        else F.col(f.name).cast(f.dataType).alias(f.name) for f in s.export.schema
+    ])
 
 
 @query
@@ -414,7 +424,15 @@ def preview_texts(s):
 
 @query
 def schema_check(s):
-    return quality.schema_report(s.raw_text)
+    """Which expected columns a written export has, and how many values they hold."""
+    path = s.path("export")
+    work_orders.write_csv(s.raw_text.select(*RAW_COLUMNS), path, quote_all=True)
+    export = s.spark.read.options(header=True, quote='"', escape='"', multiLine=True).csv(path)
+    held = export.agg(*[
+        (F.count(F.nullif(F.col(c), F.lit(""))) if c in export.columns else F.lit(0).cast("long")).alias(c)
+        for c in CLEAN_COLUMNS
+    ]).unpivot([], list(CLEAN_COLUMNS), "column", "n_values")
+    return quality.schema_report(export).join(held, "column")
 
 
 @query
@@ -472,6 +490,11 @@ def facet_values(s):
     return quality.facet_values(s.cleaned, "Type")
 
 
+@query
+def facet_equipment(s):
+    return quality.facet_values(s.cleaned, "equipment")
+
+
 # Vectors ---------------------------------------------------------------------------------
 
 def _cells(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -552,7 +575,7 @@ def average_similarity(s):
 
 @query
 def vector_sample(s):
-    return inspection.sample(s.vectors, 1000).select("WOID", "Type", "equipment")
+    return inspection.sample(s.vectors, 100).select("WOID", "Type", "equipment")
 
 
 @query
@@ -580,7 +603,7 @@ def vector_grid(s):
 @query
 def ad_hoc_search(s):
     asked = s.spark.createDataFrame(
-        [(1, "hvac cooling issue in research facility")], "query_id bigint, query_text string"
+        [(1, "pump in the research hall leaks again")], "query_id bigint, query_text string"
     )
     return _short(strategies.strategy_a(s.vectors, asked, s.encoder, 3))
 
@@ -772,6 +795,16 @@ def strategy_metrics(s):
     return _rounded(s.evaluation.metrics, *_MEANS)
 
 
+@query
+def work_order_pipeline(s):
+    """Raw CSV export to metrics, every stage written to the folder of the run."""
+    folder = s.path("work-orders")
+    export = s.raw_text.orderBy(SEQ).select(*RAW_COLUMNS)
+    work_orders.write_csv(export, f"{folder}/raw", quote_all=True)
+    stored = build_tables(work_orders.read_raw(s.spark, f"{folder}/raw"), folder, s.encoder)
+    return _rounded(run_evaluation(stored, s.encoder, n_queries=None).metrics, *_MEANS)
+
+
 @query
 def metrics_by_type(s):
     return _rounded(s.evaluation.metrics_by_type, *_MEANS[1:])

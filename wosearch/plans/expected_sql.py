@@ -306,7 +306,7 @@ _COMMON = {
         "query_id", "q"),
     "item_grid": "SELECT query_id, ingest_seq, WOID FROM items, cleaned",
     "item_docs": _vectors("benchmark", "item_id", "text"),
-    "one_query": "SELECT 1::BIGINT AS query_id, 'hvac cooling issue in research facility' AS query_text",
+    "one_query": "SELECT 1::BIGINT AS query_id, 'pump in the research hall leaks again' AS query_text",
     "one_probe": _vectors(
         f"(SELECT query_id, '{QUERY_PREFIX}' || query_text AS q FROM one_query)", "query_id", "q"),
     "members": """
@@ -323,8 +323,9 @@ _COMMON = {
 
 _SCORE = "round(CAST(score AS DOUBLE), 6) AS score"
 _HIT = f"SELECT query_id, strategy, rank, woid, {_SCORE} FROM"
-_STORED = ("SELECT ingest_seq, WOID, text_repr, mice_repr, 1.0::DOUBLE AS text_length, "
-           "1.0::DOUBLE AS mice_length FROM represented")
+_STORED = " UNION ALL ".join(
+    f"SELECT ingest_seq, WOID, '{track}' AS track, b AS dimension, round(v, 6) AS value "
+    f"FROM {track}_docs JOIN cleaned USING (ingest_seq)" for track in ("text", "mice"))
 _DOT = "list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
 
 
@@ -403,9 +404,9 @@ _STATEMENTS = {
     "csv_clean_scan": "SELECT row_number() OVER (ORDER BY ingest_seq) - 1 AS position, "
         + ", ".join(f"{_na(c)} AS {c}" for c in CLEAN_COLUMNS) + " FROM cleaned",
     "chunked_scan": """
-      SELECT CAST(floor(i / 10000) AS BIGINT) AS chunk, count(*) AS n_rows
+      SELECT CAST(floor(i / 100) AS BIGINT) AS chunk, count(*) AS n_rows
       FROM (SELECT row_number() OVER (ORDER BY ingest_seq) - 1 AS i FROM cleaned) GROUP BY ALL""",
-    "first_rows_scan": "FROM cleaned ORDER BY ingest_seq LIMIT 5000",
+    "first_rows_scan": "FROM cleaned ORDER BY ingest_seq LIMIT 50",
     "vector_table_append": _STORED,
     "vector_table_open": "SELECT 'absent' AS state, 0::BIGINT AS n_rows "
         "UNION ALL SELECT 'stored', count(*) FROM cleaned",
@@ -481,8 +482,11 @@ _STATEMENTS = {
       SELECT WOID, concat(WOID, chr(10), 'Equipment: ', equipment, chr(10), 'Type: ', Type,
                           chr(10), left(WODescription, 80), '…') AS preview FROM cleaned""",
     # Quality
-    "schema_check": "SELECT c AS \"column\", c <> 'equipment' AS present "
-        f"FROM (SELECT unnest([{_list(CLEAN_COLUMNS)}]) AS c)",
+    "schema_check": " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", true AS present,
+            count(nullif({c}, '')) AS n_values FROM raw"""
+        for c in CLEAN_COLUMNS if c in RAW_COLUMNS)
+        + " UNION ALL SELECT 'equipment', false, 0::BIGINT",
     "missing_values": " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", count(CASE WHEN {c} = '' THEN 1 END) AS missing,
             round(count(CASE WHEN {c} = '' THEN 1 END) / count(*), 6) AS share FROM filled"""
@@ -514,6 +518,8 @@ _STATEMENTS = {
         "ORDER BY n_rows DESC, value LIMIT 10",
     "facet_values": "SELECT DISTINCT Type AS value FROM cleaned",
     # Vectors
+    "facet_equipment": "SELECT DISTINCT equipment AS value FROM cleaned",
+    # Vectors
     "document_vectors": "SELECT WOID, b AS dimension, round(v, 6) AS value "
         "FROM mice_docs JOIN cleaned USING (ingest_seq)",
     "query_vectors": "SELECT query_id, b AS dimension, round(v, 6) AS value FROM item_text",
@@ -556,7 +562,7 @@ _STATEMENTS = {
                      / sqrt({_DOT.format(a='embedding', b='embedding')}) AS x FROM embeddings)
             GROUP BY p)""",
     "vector_sample": "SELECT WOID, Type, equipment FROM cleaned "
-        "ORDER BY md5('42|' || WOID), WOID LIMIT 1000",
+        "ORDER BY md5('42|' || WOID), WOID LIMIT 100",
     "vector_heat_map": """
       SELECT vec_id, unnest(range(20)) AS dimension,
              round(CAST(unnest(embedding[1:20]) AS DOUBLE), 6) AS value FROM embeddings""",
@@ -650,6 +656,8 @@ _STATEMENTS = {
     "first_hit_rank": "SELECT query_id, strategy, first_hit_rank FROM per_query",
     "strategy_metrics": f"SELECT strategy, count(*) AS n_queries, round(avg(mrr), 6) AS mrr, "
         f"{_AVERAGES} FROM per_query GROUP BY strategy",
+    "work_order_pipeline": f"SELECT strategy, count(*) AS n_queries, round(avg(mrr), 6) AS mrr, "
+        f"{_AVERAGES} FROM per_query GROUP BY strategy",
     "metrics_by_type": f"""
       SELECT strategy, 'all' AS query_type, count(*) AS n_queries, {_AVERAGES}
       FROM per_query GROUP BY strategy
@@ -743,11 +751,14 @@ _STATEMENTS = {
                        AND coalesce(equipment, '') = '' THEN 'no_metadata'
                   WHEN n_B_prime < n_A THEN 'fewer' WHEN n_B_prime > n_A THEN 'more'
                   ELSE 'unchanged' END AS metadata_effect
-      FROM overlap JOIN cases USING (query_id) JOIN (
+      FROM (SELECT query_id, building_id, building_type, equipment,
+                   coalesce(overlap_pct, 0) AS overlap_pct, coalesce(n_A, 0) AS n_A,
+                   coalesce(n_B, 0) AS n_B, coalesce(n_B_prime, 0) AS n_B_prime
+      FROM cases LEFT JOIN overlap USING (query_id) LEFT JOIN (
         SELECT query_id, count(CASE WHEN strategy = 'A' THEN 1 END) AS n_A,
                count(CASE WHEN strategy = 'B' THEN 1 END) AS n_B,
                count(CASE WHEN strategy = 'B_prime' THEN 1 END) AS n_B_prime
-        FROM hits GROUP BY query_id) USING (query_id)""",
+        FROM hits GROUP BY query_id) USING (query_id))""",
     "latency_race": """
       SELECT query_id, strategy, round(latency_ms, 6) AS latency_ms, CASE
         WHEN latency_ms = min(latency_ms) OVER (PARTITION BY query_id) THEN 'fastest'
