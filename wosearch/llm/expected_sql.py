@@ -1,3 +1,78 @@
 """Equivalent DuckDB statements of the queries that SQL can express."""
 
-LLM_SQL: dict[str, str] = {}
+from wosearch.llm.lattice import THRESHOLD
+from wosearch.llm.mixing import BLOCK, GOLDEN, LIMIT, SEED, SHARE, UNIT, WEIGHTS
+
+_MIXING = rf"""
+WITH sized AS (
+  SELECT doc_id, source, md5('{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+  FROM documents),
+named AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM sized GROUP BY source),
+weighed AS (
+  SELECT *, [{", ".join(f"{float(w)}::DOUBLE" for w in WEIGHTS)}][(rank - 1) % {len(WEIGHTS)} + 1] AS weight,
+         source_size * {LIMIT}::DOUBLE AS most FROM named),
+levelled AS (
+  SELECT *, most / weight AS level, sum(source_size) OVER () * {SHARE}::DOUBLE AS budget,
+         coalesce(sum(most) OVER (ORDER BY most / weight, rank
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS settled,
+         sum(weight) OVER (ORDER BY most / weight, rank
+                  ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight
+  FROM weighed),
+judged AS (SELECT *, settled + level * open_weight <= budget AS is_full FROM levelled),
+targets AS (
+  SELECT rank, source, source_size, CASE WHEN is_full THEN most ELSE
+    (budget - coalesce(sum(CASE WHEN is_full THEN most END) OVER (), 0)) * weight
+    / sum(CASE WHEN NOT is_full THEN weight END) OVER () END AS target FROM judged),
+sources AS (SELECT *, CAST(round(target) AS BIGINT) AS words FROM targets),
+intervals AS (
+  SELECT rank, words,
+         floor((sum(words) OVER (ORDER BY rank) - words) * ({UNIT}::DOUBLE / total)) AS low,
+         floor(sum(words) OVER (ORDER BY rank) * ({UNIT}::DOUBLE / total)) AS high
+  FROM sources, (SELECT greatest(sum(words), 1)::DOUBLE AS total FROM sources)),
+slots AS (
+  SELECT rank, words, slot, row_number() OVER (PARTITION BY rank ORDER BY slot) - 1 AS block
+  FROM (SELECT range AS slot, (range % {UNIT} * {GOLDEN}) % {UNIT} AS point
+        FROM range(CAST((SELECT ceil(sum(words) / {BLOCK}) FROM sources) AS BIGINT)))
+  JOIN intervals ON point >= low AND point < high),
+placed AS (
+  SELECT d.*, s.rank, s.source_size, s.target, s.words,
+         sum(size) OVER (PARTITION BY s.rank ORDER BY place, size
+                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start,
+         row_number() OVER () AS n
+  FROM sized d JOIN sources s ON d.source IS NOT DISTINCT FROM s.source),
+readings AS (
+  SELECT *, reading * source_size + start AS low,
+         least(reading * source_size + start + size, words) AS high
+  FROM placed, (SELECT unnest([0, 1]) AS reading)),
+taken AS (
+  SELECT n, CAST(sum(high - low) AS BIGINT) AS taken FROM readings WHERE low < high GROUP BY n),
+firsts AS (
+  SELECT n, min(slot) AS first_slot FROM readings r JOIN slots s
+    ON s.rank = r.rank AND s.block BETWEEN r.low // {BLOCK} AND (r.high - 1) // {BLOCK}
+  WHERE low < high AND s.block * {BLOCK} < s.words GROUP BY n)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, first_slot
+FROM placed LEFT JOIN taken USING (n) LEFT JOIN firsts USING (n)"""
+
+# Every pair of a label; the query finds its pairs by lattice cells.
+_LATTICE = f"""
+WITH RECURSIVE sound AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v))
+        / sqrt(list_dot_product(b.v, b.v)) >= {THRESHOLD}::DOUBLE),
+reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON p.a = r.b),
+rooted AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM pairs WHERE a = vec_id) AS n_links, component_id,
+       vec_id = component_id AS kept
+FROM rooted"""
+
+LLM_SQL: dict[str, str] = {"op3_mixing": _MIXING, "op7_lattice": _LATTICE}
