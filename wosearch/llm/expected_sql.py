@@ -60,8 +60,8 @@ FROM placed LEFT JOIN taken USING (n) LEFT JOIN firsts USING (n)"""
 _LATTICE = f"""
 WITH RECURSIVE sound AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
-  WHERE label IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 pairs AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b
     ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
