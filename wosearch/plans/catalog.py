@@ -860,7 +860,8 @@ def helped_queries(s):
 
 @query
 def hurt_queries(s):
-    found = analysis.hurt(s.evaluation.comparisons)
+    # A threshold of zero: queries that no metadata strategy improves.
+    found = analysis.hurt(s.evaluation.comparisons, 0.0)
     return _rounded(found.select("query_id", "description", "metadata_gain"), "metadata_gain")
 
 

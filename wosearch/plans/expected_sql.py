@@ -689,7 +689,7 @@ _STATEMENTS = {
     "helped_queries": f"SELECT query_id, description, {_GAIN} FROM compared "
         "WHERE metadata_gain >= 0.2::DOUBLE",
     "hurt_queries": f"SELECT query_id, description, {_GAIN} FROM compared "
-        "WHERE -metadata_gain >= 0.2::DOUBLE",
+        "WHERE -metadata_gain >= 0",
     "win_matrix": " UNION ALL ".join(
         f"""SELECT '{a}' AS s1, '{b}' AS s2, count(CASE WHEN {a}_recall > {b}_recall THEN 1 END) AS wins,
             count(CASE WHEN {a}_recall < {b}_recall THEN 1 END) AS losses,
