@@ -44,3 +44,6 @@ def parts(
         for start, end in zip(cuts, cuts[1:]):
             if end > start:
                 yield [column.slice(start, end - start) for column in columns]
+        del columns, batch
+    # A Python worker serves many tasks; what this one used goes back.
+    pa.default_memory_pool().release_unused()

@@ -27,8 +27,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +41,8 @@ MIN_ERRORS = 3.0
 REGULARISATION = 0.001
 ITERATIONS = 25
 FOLDS = 5
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
+SENT_ROWS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -119,11 +118,12 @@ def _count_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.add.at(counts[y], buckets[label[docs] == y], 1)
             n[y] += (label == y).sum()
     seen = np.flatnonzero(counts.sum(axis=0))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.append(seen, -1)), pa.array(np.append(counts[0, seen], n[0])),
-         pa.array(np.append(counts[1, seen], n[1]))],
-        names=["bucket", "clean", "toxic"],
-    )
+    names = ["bucket", "clean", "toxic"]
+    for at in range(0, len(seen), SENT_ROWS):
+        some = seen[at:at + SENT_ROWS]
+        columns = (some, counts[0, some], counts[1, some])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+    yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()) for c in (-1, *n.tolist())], names=names)
 
 
 def scales(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,6 +147,10 @@ def scales(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def fit(texts: DataFrame) -> Model:
     """Fits toxic, text rows."""
+    # Imported here, so that the tasks that score don't load it.
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import SparseVector, VectorUDT
+
     spark = texts.sparkSession
     buckets, ratios, n = scales(texts)
     if not n.all() or not len(buckets):
