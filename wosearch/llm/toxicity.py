@@ -4,7 +4,9 @@ Features are the n-grams of the lower-cased text, present or not, hashed into bu
 training texts each bucket's documents are counted by class; the logarithm of the ratio of the
 two smoothed shares is the bucket's scale. Buckets seen in fewer than ``MIN_DOCS`` documents,
 or whose scale is within ``MIN_ERRORS`` standard errors of zero, are left out. A logistic regression on the scaled features gives
-the weights, which are sent to the tasks as one table of fixed size.
+the weights. Where the two classes' training texts stand apart, the bias is moved so that a score
+of one half lies midway between their edges. The chosen buckets and weights, no more than there
+are buckets, are sent to the tasks.
 
 Fitting reads a bounded sample: of the labelled documents that may be learned from, the
 ``TRAIN_ROWS`` whose ids have the smallest hashes. Scoring reads every text whole.
@@ -40,6 +42,8 @@ MIN_DOCS = 4
 MIN_ERRORS = 3.0
 REGULARISATION = 0.001
 ITERATIONS = 25
+# Shares of clean and of toxic training texts on their side of the class's edge.
+CLEAN_EDGE, TOXIC_EDGE = 0.999, 0.01
 FOLDS = 5
 BATCH_BYTES = 1 << 19
 SENT_ROWS = 1 << 16
@@ -149,6 +153,7 @@ def fit(texts: DataFrame) -> Model:
     """Fits toxic, text rows."""
     # Imported here, so that the tasks that score don't load it.
     from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import vector_to_array
     from pyspark.ml.linalg import SparseVector, VectorUDT
 
     spark = texts.sparkSession
@@ -169,14 +174,21 @@ def fit(texts: DataFrame) -> Model:
 
     # The rarer class counts more, half way to balance on a logarithmic scale.
     rows = texts.select(
-        F.col("toxic").cast("double").alias("label"), vector("text").alias("features"),
+        "toxic", F.col("toxic").cast("double").alias("label"), vector("text").alias("features"),
         F.when(F.col("toxic") == 1, float(np.sqrt(n[0] / n[1]))).otherwise(1.0).alias("weight"),
     )
     model = LogisticRegression(
         maxIter=ITERATIONS, regParam=REGULARISATION, standardization=False, weightCol="weight"
-    ).fit(materialise(rows, "toxicity-features"))
+    ).fit(features := materialise(rows, "toxicity-features"))
     shared.unpersist()
-    return Model(float(model.intercept), buckets, model.coefficients.toArray() * ratios)
+    # Where the classes stand apart, one half lies in the middle between them.
+    margin = vector_to_array("rawPrediction")[1]
+    edges = model.transform(features).agg(
+        F.percentile_approx(F.when(F.col("toxic") == 0, margin), CLEAN_EDGE).alias("clean"),
+        F.percentile_approx(F.when(F.col("toxic") == 1, margin), TOXIC_EDGE).alias("toxic"),
+    ).first()
+    shift = (edges["clean"] + edges["toxic"]) / 2 if edges["clean"] < edges["toxic"] else 0.0
+    return Model(model.intercept - shift, buckets, model.coefficients.toArray() * ratios)
 
 
 def _score_task(batches: Iterable[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
