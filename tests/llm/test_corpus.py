@@ -211,7 +211,7 @@ def test_filter_counts():
     words = np.unique(rng.integers(0, 1 << 63, 3000).astype(np.uint64) * np.uint64(2))
     counts = rng.integers(1, 100000, len(words))
     table = ngram_model.segment(words, counts, words[:0], counts[:0], 1 << 20)
-    known = ngram_model.Filter(table, 0)
+    known = ngram_model.Filter([table])
     ratio = known.counts(words) / counts
     assert ratio.min() > 0.6 and ratio.max() < 1.6
     assert (known.counts(np.unique(rng.integers(0, 1 << 63, 3000).astype(np.uint64) | np.uint64(1))) > 0).mean() < 0.01

@@ -41,12 +41,14 @@ from wosearch.session import materialise
 FOLDS = 10
 PRIOR = 0.1
 WEIGHT = 0.2
-FILTER_BYTES = 128 << 20
-PROBES = 5
-BITS_EACH = 8  # least bits per entry of a segment
+FILTER_BYTES = 64 << 20
+PROBES = 4
+BITS_EACH = 6  # least bits per entry of a segment
 BASE = 1.5  # ratio of two levels of counts
-BATCH_BYTES = 4 << 20
-RANGE_BYTES = 32 << 20
+BATCH_BYTES = 3 << 20  # of text counted at once
+SCORE_BYTES = 1 << 20  # of text scored at once
+RANGE_BYTES = 8 << 20
+LEAST_BITS = 6  # 64 ranges at least, so that no segment is large
 
 END = np.uint64(0x5851F42D4C957F2D)
 START = np.uint64(0x14057B7EF767814F)
@@ -101,10 +103,22 @@ def tokenize(texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pairs_of(tokens: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """History of each token, and the hash of history and token."""
+    """History of each token, and the hash of history and token: 48 bits, the last 16 are 0."""
     history = np.concatenate(([START], tokens[:-1]))[:len(tokens)]
     history[np.flatnonzero(np.diff(owner, prepend=-1))] = START
-    return history, mix(history * _B ^ tokens)
+    return history, mix(history * _B ^ tokens) & ~np.uint64(0xFFFF)
+
+
+def short_bytes(pairs: np.ndarray) -> bytes:
+    """Six bytes for each hash of a pair."""
+    return pairs.astype("<u8").view("<u2").reshape(-1, 4)[:, 1:].tobytes()
+
+
+def from_short(data: bytes) -> np.ndarray:
+    parts_ = np.frombuffer(data, "<u2").reshape(-1, 3)
+    out = np.zeros((len(parts_), 4), dtype="<u2")
+    out[:, 1:] = parts_
+    return out.reshape(-1).view("<u8")
 
 
 def _ranges(sorted_hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -148,7 +162,7 @@ def _send_task(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[pa.Reco
         pair = pair[new]
         cuts = _ranges(pair, bits)
         rows += [
-            (PAIRS, r, part, pair[s:e].tobytes(), count[s:e].tobytes(), b"", b"")
+            (PAIRS, r, part, short_bytes(pair[s:e]), count[s:e].tobytes(), b"", b"")
             for r, (s, e) in enumerate(zip(cuts, cuts[1:])) if e > s
         ]
         part += 1
@@ -175,7 +189,7 @@ def _positions(hashes: np.ndarray, level: np.ndarray | int, segment_bits: int) -
     h = mix(hashes + np.asarray(level).astype(np.uint64) * END)
     step = (h >> np.uint64(32)) | np.uint64(1)
     for i in range(PROBES):
-        yield (h + np.uint64(i) * step) & np.uint64(segment_bits - 1)
+        yield (h + np.uint64(i) * step) % np.uint64(segment_bits)
 
 
 def segment(words, word_counts, pairs, pair_counts, segment_bytes: int) -> np.ndarray:
@@ -201,22 +215,30 @@ def segment(words, word_counts, pairs, pair_counts, segment_bytes: int) -> np.nd
     return out
 
 
+def _payloads(table: pa.Table) -> Iterator[tuple]:
+    """kind, part and the four payloads of each row, not copied."""
+    for batch in table.to_batches():
+        kinds, owners = batch.column("kind").to_pylist(), batch.column("part").to_pylist()
+        columns = [batch.column(name) for name in "abcd"]
+        for i, (kind, part) in enumerate(zip(kinds, owners)):
+            yield kind, part, *(column[i].as_buffer() for column in columns)
+
+
 def _range_task(key: tuple, table: pa.Table, segment_bytes: int) -> pa.Table:
     """Adds up one range of hashes; passes on the rows about documents."""
     number = key[0].as_py()
     words, pairs, pair_counts, out = [], [], [], []
-    for row in table.to_pylist():
-        if row["kind"] == DOCS:
-            out.append((DOCS, row["part"], number, row["a"], row["b"], row["c"], row["d"]))
-        elif row["kind"] == WORDS:
+    for kind, part, a, b, c, d in _payloads(table):
+        if kind == DOCS:
+            out.append((DOCS, part, number, *(x.to_pybytes() for x in (a, b, c, d))))
+        elif kind == WORDS:
             words.append((
-                row["part"], np.frombuffer(row["a"], np.uint64),
-                np.frombuffer(row["b"], np.uint16), np.frombuffer(row["c"], np.uint16),
-                np.frombuffer(row["d"], np.int32),
+                part, np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint16),
+                np.frombuffer(c, np.uint16), np.frombuffer(d, np.int32),
             ))
         else:
-            pairs.append(np.frombuffer(row["a"], np.uint64))
-            pair_counts.append(np.frombuffer(row["b"], np.uint32))
+            pairs.append(from_short(a))
+            pair_counts.append(np.frombuffer(b, np.uint32))
     learned = [
         np.add.reduceat(np.maximum(count, 0).astype(np.int64), np.cumsum(per.astype(np.int64)) - per)
         for _, _, per, _, count in words
@@ -237,6 +259,7 @@ def _range_task(key: tuple, table: pa.Table, segment_bytes: int) -> pa.Table:
     out.append((SEGMENT, -1, number, bits.tobytes(), b"", b"", b""))
     types = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4)
     names = ["kind", "part", "number", "a", "b", "c", "d"]
+    pa.default_memory_pool().release_unused()
     return pa.Table.from_arrays(
         [pa.array(c, type=t) for c, t in zip(zip(*out), types)], names=names
     )
@@ -261,26 +284,29 @@ def _share_task(table: pa.Table) -> pa.Table:
 
 
 class Filter:
-    """Counts by repeated probes; segments by the top bits of the hash."""
+    """Counts by repeated probes; the top bits of a hash tell the segment."""
 
-    def __init__(self, table: np.ndarray, bits: int):
-        self.table, self.bits = table, bits
-        self.segment_bits = 8 * len(table) >> bits
+    def __init__(self, segments: list[np.ndarray]):
+        self.segments = segments
+        self.bits = len(segments).bit_length() - 1
 
     def counts(self, hashes: np.ndarray) -> np.ndarray:
-        """Estimated counts, 0 for what isn't there."""
+        """Estimated counts of sorted hashes, 0 for what isn't there."""
+        out = np.zeros(len(hashes))
+        cuts = _ranges(hashes, self.bits)
+        for table, start, end in zip(self.segments, cuts, cuts[1:]):
+            if end > start:
+                out[start:end] = self._probe(hashes[start:end], table)
+        return out
+
+    def _probe(self, hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
         out = np.zeros(len(hashes))
-        offset = (
-            (hashes >> np.uint64(64 - self.bits)) * np.uint64(self.segment_bits)
-            if self.bits else np.zeros(len(hashes), np.uint64)
-        )
         left, level = np.arange(len(hashes)), 1
         while len(left):
-            h, base = hashes[left], offset[left]
             there = np.arange(len(left))
-            for at in _positions(h, level, self.segment_bits):
-                at = (at[there] if len(there) < len(at) else at) + base[there]
-                bit = self.table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1
+            for at in _positions(hashes[left], level, 8 * len(table)):
+                at = at[there]
+                bit = table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1
                 there = there[bit == 1]
             left = left[there]
             out[left] = 1.0 if level == 1 else BASE ** (level - 0.5)
@@ -291,10 +317,9 @@ class Filter:
 def _score_task(
     batches: Iterable[pa.RecordBatch], shared: Broadcast, total: tuple, weight: float
 ) -> Iterator[pa.RecordBatch]:
-    table, bits = shared.value
     n, v, n_docs = total
-    known = Filter(table, bits)
-    for doc_ids, texts, _, text_hashes in parts(batches, BATCH_BYTES):
+    known = Filter(shared.value)
+    for doc_ids, texts, _, text_hashes in parts(batches, SCORE_BYTES):
         tokens, owner = tokenize(texts.to_pylist())
         history, pair = pairs_of(tokens, owner)
         words, word_at = np.unique(tokens, return_inverse=True)
@@ -326,7 +351,7 @@ def score(
         F.xxhash64("text").alias("text_hash"),
     )
     _, volume = text_volume(rows, "text")
-    bits = max(0, math.ceil(math.log2(max(volume, 1) / RANGE_BYTES)))
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(volume, 1) / RANGE_BYTES)))
     segment_bytes = max(1, filter_bytes >> bits)
     sent = rows.mapInArrow(lambda b: _send_task(b, bits), SENT)
     counted = materialise(
@@ -339,11 +364,10 @@ def score(
     n_docs = docs.select(is_held_out(F.col("doc_id"), FOLDS).alias("h")).filter("not h").count()
 
     # The filter has a fixed size, whatever the input.
-    table = np.zeros(segment_bytes << bits, dtype=np.uint8)
+    segments = [np.zeros(segment_bytes, dtype=np.uint8)] * (1 << bits)
     for row in counted.filter(f"kind = {SEGMENT}").select("number", "a").toLocalIterator():
-        at = row["number"] * segment_bytes
-        table[at:at + segment_bytes] = np.frombuffer(row["a"], np.uint8)
-    shared = spark.sparkContext.broadcast((table, bits))
+        segments[row["number"]] = np.frombuffer(row["a"], np.uint8)
+    shared = spark.sparkContext.broadcast(segments)
 
     # Repeated rows have the same results, so one of their shares stands for all.
     shares = counted.filter(f"kind in ({DOCS}, {SHARES})").groupBy("part").applyInArrow(
