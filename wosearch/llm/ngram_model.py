@@ -46,7 +46,7 @@ PROBES = 4
 BITS_EACH = 6  # least bits per entry of a segment
 BASE = 1.5  # ratio of two levels of counts
 BATCH_BYTES = 3 << 20  # of text counted at once
-SCORE_BYTES = 2 << 20  # of text scored at once
+SCORE_BYTES = 3 << 20  # of text scored at once
 RANGE_BYTES = 8 << 20
 LEAST_BITS = 6  # 64 ranges at least, so that no segment is large
 
