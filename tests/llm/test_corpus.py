@@ -217,6 +217,31 @@ def test_filter_counts():
     assert (known.counts(np.unique(rng.integers(0, 1 << 63, 3000).astype(np.uint64) | np.uint64(1))) > 0).mean() < 0.01
 
 
+def test_filter_keeps_every_pair():
+    """A filter that starts too small grows; nothing is left out."""
+    rng = np.random.default_rng(4)
+    words, pairs = (np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (2000, 9000))
+    of_word, of_pair = rng.integers(1, 1000, len(words)), rng.geometric(0.6, len(pairs))
+    known = ngram_model.Filter([ngram_model.segment(words, of_word, pairs, of_pair, 30_000)])
+    assert (known.counts(words) / of_word).min() > 0.6
+    assert (known.counts(pairs) / of_pair).min() > 0.6
+
+
+@pytest.mark.parametrize("odd", [True, False])
+def test_scores_by_range(spark, docs, odd):
+    """Too small a filter scores as a large one does, and segments that stay put as sent ones."""
+    data = brute.odd_documents(spark) if odd else docs
+    by_size = {
+        (size, sent): sorted((repr(r.doc_id), r.score) for r in ngram_model.score(
+            data, filter_bytes=size, broadcast_bytes=sent).collect())
+        for size, sent in ((1 << 22, 1 << 24), (1 << 12, 1 << 24), (1 << 12, 0))
+    }
+    large, small, stored = by_size.values()
+    assert small == stored and len(small) == data.count()
+    if not odd:
+        assert sum(x for _, x in small) == pytest.approx(sum(x for _, x in large), rel=0.02)
+
+
 # Toxicity --------------------------------------------------------------------------------
 
 def test_toxicity_held_out(spark, docs):

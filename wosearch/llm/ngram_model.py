@@ -8,8 +8,10 @@ segment of the filter. No word or document is ever gathered in one place, howeve
 
 Filter. An n-gram with count c enters as (n-gram, 1) to (n-gram, q), where q grows with the
 logarithm of c. Probing 1, 2, ... until one is missing gives back q, and so the order of
-magnitude of c. The filter has a fixed size, the same at any volume, and travels to all tasks;
-a segment that would be overfull leaves out pairs, rarest first.
+magnitude of c. Every word and pair enters: a segment grows with what it holds. Filters of up to
+``BROADCAST_BYTES`` travel to all tasks. Larger ones stay in the shared folder: parts of the
+documents send their distinct words and pairs to the segments by hash range and get levels back,
+so no task holds more than one segment. Both ways read the same segments.
 
 Score. P(w | v) = WEIGHT * c(v w) / c(v) + (1 - WEIGHT) * (c(w) + 0.1) / (N + 0.1 (V + 1)), with
 all counts but N and V from the filter. Sentences are whole texts between a start and an end.
@@ -41,7 +43,8 @@ from wosearch.session import materialise
 FOLDS = 10
 PRIOR = 0.1
 WEIGHT = 0.2
-FILTER_BYTES = 64 << 20
+FILTER_BYTES = 64 << 20  # least size of the filter
+BROADCAST_BYTES = 80 << 20  # largest filter that travels to all tasks
 PROBES = 4
 BITS_EACH = 6  # least bits per entry of a segment
 BASE = 1.5  # ratio of two levels of counts
@@ -192,22 +195,15 @@ def _positions(hashes: np.ndarray, level: np.ndarray | int, segment_bits: int) -
         yield (h + np.uint64(i) * step) % np.uint64(segment_bits)
 
 
-def segment(words, word_counts, pairs, pair_counts, segment_bytes: int) -> np.ndarray:
-    """A segment of the filter; words always enter, pairs from the most frequent level down."""
-    bits = 8 * segment_bytes
+def segment(words, word_counts, pairs, pair_counts, least_bytes: int) -> np.ndarray:
+    """A segment of the filter with all words and pairs, as large as BITS_EACH asks for."""
     seen = word_counts > 0
-    hashes, level = words[seen], levels(word_counts[seen])
-    if len(pairs):
-        of_pair = levels(pair_counts)
-        room = bits // BITS_EACH - level.sum()
-        entries = np.cumsum(np.bincount(of_pair, of_pair)[::-1])[::-1]  # of this level and above
-        least = int(np.argmax(np.append(entries <= room, True)))
-        kept = of_pair >= least
-        hashes, level = np.append(hashes, pairs[kept]), np.append(level, of_pair[kept])
-    out = np.zeros(segment_bytes, dtype=np.uint8)
+    hashes = np.append(words[seen], pairs)
+    level = np.append(levels(word_counts[seen]), levels(pair_counts))
+    out = np.zeros(max(least_bytes, math.ceil(int(level.sum()) * BITS_EACH / 8)), dtype=np.uint8)
     step = 1
     while len(hashes):
-        for at in _positions(hashes, step, bits):
+        for at in _positions(hashes, step, 8 * len(out)):
             np.bitwise_or.at(out, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
         step += 1
         more = level >= step
@@ -253,9 +249,9 @@ def _range_task(key: tuple, table: pa.Table, segment_bytes: int) -> pa.Table:
         present = np.unique(doc)
         out.append((SHARES, part, number, present.tobytes(), share[present].tobytes(),
                     known[present].tobytes(), b""))
-    out.append((TOTALS, -1, number, np.array([total.sum(), (total > 0).sum()], np.int64).tobytes(),
-                b"", b"", b""))
     bits = segment(distinct, total, *_summed(pairs, pair_counts), segment_bytes)
+    out.append((TOTALS, -1, number, np.array(
+        [total.sum(), (total > 0).sum(), len(bits)], np.int64).tobytes(), b"", b"", b""))
     out.append((SEGMENT, -1, number, bits.tobytes(), b"", b"", b""))
     types = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4)
     names = ["kind", "part", "number", "a", "b", "c", "d"]
@@ -283,6 +279,26 @@ def _share_task(table: pa.Table) -> pa.Table:
     ], names=["doc_id", "text_hash", "n_tokens", "n_known", "share"])
 
 
+def probe(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Levels of hashes in a segment, 0 for what isn't there."""
+    out = np.zeros(len(hashes), dtype=np.uint8)
+    left, level = np.arange(len(hashes)), 1
+    while len(left) and level < 256:
+        there = np.arange(len(left))
+        for at in _positions(hashes[left], level, 8 * len(table)):
+            at = at[there]
+            bit = table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1
+            there = there[bit == 1]
+        left = left[there]
+        out[left] = level
+        level += 1
+    return out
+
+
+# Estimated count of each level.
+_COUNT_OF = np.array([0.0, 1.0, *(BASE ** (level - 0.5) for level in range(2, 256))])
+
+
 class Filter:
     """Counts by repeated probes; the top bits of a hash tell the segment."""
 
@@ -296,52 +312,132 @@ class Filter:
         cuts = _ranges(hashes, self.bits)
         for table, start, end in zip(self.segments, cuts, cuts[1:]):
             if end > start:
-                out[start:end] = self._probe(hashes[start:end], table)
+                out[start:end] = _COUNT_OF[probe(hashes[start:end], table)]
         return out
 
-    def _probe(self, hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(hashes))
-        left, level = np.arange(len(hashes)), 1
-        while len(left):
-            there = np.arange(len(left))
-            for at in _positions(hashes[left], level, 8 * len(table)):
-                at = at[there]
-                bit = table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1
-                there = there[bit == 1]
-            left = left[there]
-            out[left] = 1.0 if level == 1 else BASE ** (level - 0.5)
-            level += 1
-        return out
+
+def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """Distinct words and pairs, sorted, and of each token its text, places and whether it is first."""
+    tokens, owner = tokenize(texts)
+    history, pair = pairs_of(tokens, owner)
+    words, word_at = np.unique(tokens, return_inverse=True)
+    pairs, pair_at = np.unique(pair, return_inverse=True)
+    return words, pairs, (owner, history == START, word_at, pair_at)
+
+
+def _log_scores(
+    places: tuple, of_word: np.ndarray, of_pair: np.ndarray, n_texts: int, total: tuple, weight: float
+) -> np.ndarray:
+    n, v, n_docs = total
+    owner, first, word_at, pair_at = places
+    of_pair = of_pair[pair_at]
+    before = np.concatenate(([0], word_at[:-1]))[:len(owner)]
+    of_history = np.where(first, float(n_docs), of_word[before])
+    continued = np.divide(
+        np.minimum(of_pair, of_history), of_history,
+        out=np.zeros(len(owner)), where=of_history > 0,
+    )
+    alone = (of_word[word_at] + PRIOR) / (n + PRIOR * (v + 1))
+    logs = np.log10(weight * continued + (1 - weight) * alone)
+    return np.bincount(owner, logs, n_texts)
+
+
+SCORED = "doc_id long, text_hash long, score double"
 
 
 def _score_task(
     batches: Iterable[pa.RecordBatch], shared: Broadcast, total: tuple, weight: float
 ) -> Iterator[pa.RecordBatch]:
-    n, v, n_docs = total
     known = Filter(shared.value)
     for doc_ids, texts, _, text_hashes in parts(batches, SCORE_BYTES):
-        tokens, owner = tokenize(texts.to_pylist())
-        history, pair = pairs_of(tokens, owner)
-        words, word_at = np.unique(tokens, return_inverse=True)
-        of_word = known.counts(words)
-        distinct, pair_at = np.unique(pair, return_inverse=True)
-        of_pair = known.counts(distinct)[pair_at]
-        before = np.concatenate(([0], word_at[:-1]))[:len(tokens)]
-        of_history = np.where(history == START, float(n_docs), of_word[before])
-        continued = np.divide(
-            np.minimum(of_pair, of_history), of_history,
-            out=np.zeros(len(tokens)), where=of_history > 0,
+        words, pairs, places = _grams(texts.to_pylist())
+        score = _log_scores(
+            places, known.counts(words), known.counts(pairs), len(texts), total, weight
         )
-        alone = (of_word[word_at] + PRIOR) / (n + PRIOR * (v + 1))
-        logs = np.log10(weight * continued + (1 - weight) * alone)
-        score = np.bincount(owner, logs, len(texts))
         yield pa.RecordBatch.from_arrays(
             [doc_ids, text_hashes, pa.array(score)], names=["doc_id", "text_hash", "score"]
         )
 
 
+# A filter too large for a broadcast: parts are written, ask the segments, and meet the answers.
+PARTS = "part long, doc_ids array<long>, text_hashes array<long>, texts array<string>"
+ASKED = "part long, number int, words binary, pairs binary"
+
+
+def _part_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part = TaskContext.get().partitionId() << 32
+    for doc_ids, texts, _, text_hashes in parts(batches, SCORE_BYTES):
+        lists = [
+            pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c)
+            for c in (doc_ids, text_hashes, texts.cast(pa.string()))
+        ]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([part]), *lists], names=["part", "doc_ids", "text_hashes", "texts"]
+        )
+        part += 1
+
+
+def _ask_task(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part, texts in zip(batch.column(0).to_pylist(), batch.column(1)):
+            words, pairs, _ = _grams(texts.as_py())
+            cuts = zip(*(c for h in (words, pairs) for c in (_ranges(h, bits), _ranges(h, bits)[1:])))
+            rows = [
+                (part, r, words[s:e].tobytes(), short_bytes(pairs[a:b]))
+                for r, (s, e, a, b) in enumerate(cuts) if e > s or b > a
+            ]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(c, type=t)
+                for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))
+            ], names=["part", "number", "words", "pairs"])
+
+
+def _answer_task(asked: pa.Table, stored: pa.Table) -> pa.Table:
+    """Levels, a byte each, of what the parts ask of one segment."""
+    rows = stored.column("a")
+    bits = np.frombuffer(rows[0].as_buffer(), np.uint8) if len(rows) else np.zeros(1, np.uint8)
+    words = [probe(np.frombuffer(x.as_buffer(), np.uint64), bits).tobytes() for x in asked.column("words")]
+    pairs = [probe(from_short(x.as_buffer()), bits).tobytes() for x in asked.column("pairs")]
+    return pa.Table.from_arrays(
+        [asked.column("part"), asked.column("number"), pa.array(words, pa.binary()),
+         pa.array(pairs, pa.binary())], names=["part", "number", "words", "pairs"],
+    )
+
+
+def _answered_task(written: pa.Table, answers: pa.Table, total: tuple, weight: float) -> pa.Table:
+    """Scores of the documents of one part."""
+    answers = answers.sort_by("number")
+    of_word, of_pair = (
+        _COUNT_OF[np.frombuffer(b"".join(answers.column(name).to_pylist()), np.uint8)]
+        for name in ("words", "pairs")
+    )
+    doc_ids, text_hashes, texts = (
+        written.column(name).combine_chunks().flatten() for name in ("doc_ids", "text_hashes", "texts")
+    )
+    _, _, places = _grams(texts.to_pylist())
+    score = _log_scores(places, of_word, of_pair, len(texts), total, weight)
+    return pa.Table.from_arrays(
+        [doc_ids, text_hashes, pa.array(score)], names=["doc_id", "text_hash", "score"]
+    )
+
+
+def _score_by_range(
+    rows: DataFrame, segments: DataFrame, bits: int, total: tuple, weight: float
+) -> DataFrame:
+    """doc_id, text_hash, score with segments (number, a) that stay where they are."""
+    written = materialise(rows.mapInArrow(_part_task, PARTS), "ngram-parts")
+    asked = written.select("part", "texts").mapInArrow(lambda b: _ask_task(b, bits), ASKED)
+    answers = asked.groupBy("number").cogroup(segments.groupBy("number")).applyInArrow(
+        _answer_task, ASKED
+    )
+    return written.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(
+        lambda left, right: _answered_task(left, right, total, weight), SCORED
+    )
+
+
 def score(
-    docs: DataFrame, weight: float = WEIGHT, filter_bytes: int = FILTER_BYTES
+    docs: DataFrame, weight: float = WEIGHT, filter_bytes: int = FILTER_BYTES,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
@@ -360,14 +456,19 @@ def score(
         ), "ngram-counts",
     )
     totals = [np.frombuffer(r["a"], np.int64) for r in counted.filter(f"kind = {TOTALS}").collect()]
-    n, v = (int(x) for x in np.sum(totals, axis=0)) if totals else (0, 0)
+    n, v, stored = (int(x) for x in np.sum(totals, axis=0)) if totals else (0, 0, 0)
     n_docs = docs.select(is_held_out(F.col("doc_id"), FOLDS).alias("h")).filter("not h").count()
 
-    # The filter has a fixed size, whatever the input.
-    segments = [np.zeros(segment_bytes, dtype=np.uint8)] * (1 << bits)
-    for row in counted.filter(f"kind = {SEGMENT}").select("number", "a").toLocalIterator():
-        segments[row["number"]] = np.frombuffer(row["a"], np.uint8)
-    shared = spark.sparkContext.broadcast(segments)
+    segments = counted.filter(f"kind = {SEGMENT}").select("number", "a")
+    total = (n, v, n_docs)
+    if stored <= broadcast_bytes:
+        tables = [np.zeros(1, dtype=np.uint8)] * (1 << bits)
+        for row in segments.toLocalIterator():
+            tables[row["number"]] = np.frombuffer(row["a"], np.uint8)
+        shared = spark.sparkContext.broadcast(tables)
+        scores = rows.mapInArrow(lambda b: _score_task(b, shared, total, weight), SCORED)
+    else:
+        scores = _score_by_range(rows, segments, bits, total, weight)
 
     # Repeated rows have the same results, so one of their shares stands for all.
     shares = counted.filter(f"kind in ({DOCS}, {SHARES})").groupBy("part").applyInArrow(
@@ -376,10 +477,6 @@ def score(
         F.first("n_tokens").alias("n_tokens"), F.first("n_known").alias("n_known"),
         F.first("share").alias("share"),
     ).withColumnsRenamed({"doc_id": "share_id", "text_hash": "share_hash"})
-    scores = rows.mapInArrow(
-        lambda b: _score_task(b, shared, (n, v, n_docs), weight),
-        "doc_id long, text_hash long, score double",
-    )
     norm = math.log10(n + PRIOR * (v + 1))
     return scores.join(
         shares,
