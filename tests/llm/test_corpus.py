@@ -162,6 +162,18 @@ def test_lattice(spark, monkeypatch, hot):
     assert {i: c for i, (_, c) in got.items()} == {i: c for i, (_, c) in want.items()}
 
 
+def test_lattice_hot_cell_in_labels(spark, monkeypatch):
+    """A dense group dealt over three labels: a cell hot in each is a ball in each."""
+    monkeypatch.setattr(lattice, "HOT", 8)
+    rng = np.random.default_rng(6)
+    centre = rng.standard_normal(32)
+    rows = [(i, np.float32(centre + 0.02 * rng.standard_normal(32)).astype(float), i % 3) for i in range(90)]
+    table = spark.createDataFrame(
+        [(i, v.tolist(), label) for i, v, label in rows], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in lattice.link(table).collect()}
+    assert got == link_vectors(rows) == {i: (29, i % 3) for i in range(90)}
+
+
 def test_lattice_odd(spark):
     nan = float("nan")
     rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, None, 1), (4, [0.0, 0.0], 1),

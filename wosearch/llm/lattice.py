@@ -177,13 +177,16 @@ def _balls(classes: DataFrame, keys: DataFrame, half_angle: float) -> DataFrame:
     ).withColumn("norm", F.sqrt(F.aggregate("m", F.lit(0.0), lambda a, x: a + x * x))).filter(
         "norm > 0"
     ).select("label", "cell", "n", F.transform("m", lambda x: x / F.col("norm")).alias("v"))
-    seen = keys.join(hubs, ["label", "cell"]).select("class_id", "n", "cell", "v")
+    # A cell may be hot in several labels: each has a ball of its own.
+    seen = keys.join(hubs, ["label", "cell"]).select(
+        "class_id", "n", "cell", F.xxhash64("label", "cell").alias("ball"), "v"
+    )
     near = with_cosine(
         seen.join(classes.select("class_id", F.col("unit").alias("u")), "class_id")
     ).filter(F.col("cosine") >= math.cos(half_angle - MARGIN))
     return near.groupBy("class_id").agg(
-        F.max(F.struct("n", "cell", "cosine")).alias("best")
-    ).select("class_id", F.col("best.cell").alias("ball"), F.acos(
+        F.max(F.struct("n", "cell", "cosine", "ball")).alias("best")
+    ).select("class_id", F.col("best.ball").alias("ball"), F.acos(
         F.least(F.col("best.cosine"), F.lit(1.0))).alias("angle"))
 
 
