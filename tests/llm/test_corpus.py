@@ -174,6 +174,20 @@ def test_lattice_hot_cell_in_labels(spark, monkeypatch):
     assert got == link_vectors(rows) == {i: (29, i % 3) for i in range(90)}
 
 
+def test_lattice_lengths(spark):
+    """Vectors of two lengths under one label don't meet."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for dim in (64, 65):
+        some = rng.standard_normal((250, dim))
+        rows.append([(1000 * dim + i, v, 1) for i, v in enumerate(np.concatenate((some, some[:20] * 2 + 0.01)))])
+    table = spark.createDataFrame(
+        [(i, v.tolist(), label) for own in rows for i, v, label in own],
+        "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in lattice.link(table).collect()}
+    assert got == link_vectors(rows[0]) | link_vectors(rows[1])
+
+
 def test_lattice_odd(spark):
     nan = float("nan")
     rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, None, 1), (4, [0.0, 0.0], 1),

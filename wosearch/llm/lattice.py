@@ -86,13 +86,14 @@ def projections(dim: int) -> list[np.ndarray]:
     return out
 
 
-def _cell_keys(points: np.ndarray, table: int) -> np.ndarray:
-    """A 64-bit number for each lattice point of a table."""
+def _cell_keys(points: np.ndarray, table: int, dim: int) -> np.ndarray:
+    """A 64-bit number for each lattice point of a table, for vectors of one length."""
     steps = np.rint(2 * points).astype(np.int64).view(np.uint64)
     h = np.full(steps.shape[:-1], table + 1, dtype=np.uint64)
     for i in range(8):
         h = (h ^ steps[..., i]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
+    h ^= np.uint64(dim * 0xD6E8FEB86659FD93 % (1 << 64))  # lengths don't meet
     return h.view(np.int64)
 
 
@@ -104,8 +105,8 @@ def cells(units: np.ndarray) -> np.ndarray:
         x = units @ matrix
         home = decode(x)
         closest = np.argsort(-((x - home) @ around.T), axis=1, kind="stable")[:, :PROBES]
-        out[:, t, 0] = _cell_keys(home, t)
-        out[:, t, 1:] = _cell_keys(home[:, None, :] + around[closest], t)
+        out[:, t, 0] = _cell_keys(home, t, units.shape[1])
+        out[:, t, 1:] = _cell_keys(home[:, None, :] + around[closest], t, units.shape[1])
     return out
 
 
