@@ -81,6 +81,18 @@ def test_page_text():
     assert html_text.main_text(article) == want
 
 
+def test_page_of_sections():
+    """Content regions of a page without an article, broken by a list, all count."""
+    first, third = (["".join(f"{w} " * 60)[:299] + "." for w in ws] for ws in (("alpha", "beta", "gamma"), ("delta", "eta")))
+    items = [f"Item {i} of a short list" for i in range(6)]
+    page = (
+        '<html><body><nav><a href="/">Home</a></nav><div id="content"><section><h2>Head</h2>'
+        + "".join(f"<p>{p}</p>" for p in first) + "</section><section><ul>"
+        + "".join(f"<li><a href='#'>{i}</a></li>" for i in items) + "</ul></section><section>"
+        + "".join(f"<p>{p}</p>" for p in third) + "</section></div><footer>us</footer></body></html>")
+    assert html_text.main_text(page) == "\n".join(["Head", *first, *items, *third])
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<nav>x"), (None, "u", "plain"), (3, "u", "<nav>x"),
             (4, "u", "<p>" + "long text " * 50000), (5, "u", "<div>" * 3000 + "deep")]

@@ -4,8 +4,8 @@ The standard library's parser streams events; block elements cut the page into l
 line has its text and the tags met since the line before. The ratio of characters to tags is
 smoothed along the lines with a Gaussian; lines whose smoothed ratio reaches a threshold (the
 standard deviation of the ratios, but no more than half the highest) cluster into content
-regions. The content element is the innermost element that holds the main region's lines, or the
-article or main element around it; every line of it counts, short ones too, but for lines of
+regions. The content element is the article or main element around the main region, or else the
+innermost element that holds the lines of all regions; every line of it counts, short ones too, but for lines of
 elements that are never content: menus, page headers, footers, sidebars, forms, notices,
 adverts, comments, scripts, styles.
 
@@ -166,6 +166,18 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return total / np.convolve(np.ones(len(ratios)), kernel)[reach:len(ratios) + reach]
 
 
+def _shared(paths: Iterable[tuple[int, ...]]) -> tuple[int, ...]:
+    """The elements that all paths begin with."""
+    paths = iter(paths)
+    shared = next(paths)
+    for path in paths:
+        same = 0
+        while same < min(len(shared), len(path)) and shared[same] == path[same]:
+            same += 1
+        shared = shared[:same]
+    return shared
+
+
 def main_text(html: str, sigma: float = SIGMA) -> str:
     """Text of the content element's lines, one per line."""
     page = Lines()
@@ -195,20 +207,15 @@ def main_text(html: str, sigma: float = SIGMA) -> str:
     if own:
         runs.append(own)
     main = max(runs, key=lambda run: weight[run].sum())
-    shared = page.lines[main[0]][3]
-    for i in main:
-        path = page.lines[i][3]
-        same = 0
-        while same < min(len(shared), len(path)) and shared[same] == path[same]:
-            same += 1
-        shared = shared[:same]
-    # A line of its own paragraph is part of what surrounds the paragraph.
-    depth = len(shared)
+    shared = _shared(page.lines[i][3] for i in main)
     for d in range(len(shared)):
         if page.names[shared[d]] in CONTAINERS:
             depth = d + 1
             break
     else:
+        # Other regions count as well; a line of its own paragraph is part of what surrounds it.
+        shared = _shared(page.lines[i][3] for run in runs for i in run)
+        depth = len(shared)
         while depth and page.names[shared[depth - 1]] not in ("div", "section", "td", "body", "html"):
             depth -= 1
     root = shared[:depth]
