@@ -43,6 +43,14 @@ def test_redaction_leaves_no_base_span(spark):
     assert pii.redact(docs.limit(0)).count() == 0
 
 
+def test_redaction_of_overlapping_spans(spark):
+    texts = ["see 10.0.0.0 4111 1111 1111 1111 there", "call +49 30 1234567@x.com now"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    card, mail = (r.text for r in sorted(pii.redact(docs).collect()))
+    assert "1111" not in card and card.startswith("see <") and card.endswith("> there")
+    assert "@x.com" not in mail and mail.startswith("call <") and mail.endswith("> now")
+
+
 @pytest.mark.parametrize("odd", [True, False])
 def test_secret_base_spans(spark, odd):
     docs = brute.odd_documents(spark) if odd else spark.read.parquet(DOCUMENTS)

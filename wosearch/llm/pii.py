@@ -176,7 +176,7 @@ def count_of(spans: Column, kind: str) -> Column:
 
 
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Puts <KIND> in place of every span; of overlapping spans the first one counts.
+    """Puts <KIND> in place of every span; overlapping spans go together, under the first one's kind.
 
     A column n_chars, where there is one, follows the new text.
     """
@@ -185,7 +185,9 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     walked = F.aggregate(
         spans,
         F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda state, s: F.when(s["start"] < state["at"], state).otherwise(F.struct(
+        lambda state, s: F.when(s["start"] < state["at"], F.struct(
+            F.greatest(s["end"], state["at"]).alias("at"), state["out"].alias("out"),
+        )).otherwise(F.struct(
             s["end"].alias("at"),
             F.concat(state["out"], F.array(
                 F.substring(text, state["at"] + 1, s["start"] - state["at"]),
