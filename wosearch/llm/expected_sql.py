@@ -75,4 +75,68 @@ SELECT vec_id, (SELECT count(*) FROM pairs WHERE a = vec_id) AS n_links, compone
        vec_id = component_id AS kept
 FROM rooted"""
 
-LLM_SQL: dict[str, str] = {"op3_mixing": _MIXING, "op7_lattice": _LATTICE}
+# Two children a node, as in the query.
+_MERKLE = """
+WITH RECURSIVE fields AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, n_chars, text,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-')
+         || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+         coalesce(strlen(text) || ':' || text, '-') AS tail,
+         list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)) AS codes
+  FROM documents),
+checked AS (
+  SELECT *, xor(list_reduce(codes, lambda c, b: list_reduce(range(8),
+    lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END,
+    xor(c, b)), 4294967295::BIGINT), 4294967295::BIGINT) AS crc FROM fields),
+leaves AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+         CASE WHEN crc % 7 = 0 AND n_chars IS NOT NULL THEN
+           sha256(head || strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1) || tail) END AS replaced
+  FROM checked),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+         count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+trees AS (
+  SELECT lang, 0 AS level, idx, leaf AS h, n FROM placed
+  UNION ALL
+  SELECT lang, level + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (n + 1) // 2
+  FROM trees WHERE n > 1 GROUP BY lang, level, idx // 2, n),
+subroots AS (
+  SELECT lang, level AS height, h AS subroot,
+         row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS n
+  FROM trees WHERE n = 1),
+forest AS (
+  SELECT 0 AS level, idx, subroot AS h, n FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (n + 1) // 2
+  FROM forest WHERE n > 1 GROUP BY level, idx // 2, n),
+steps AS (
+  SELECT p.lang, p.idx, t.level, p.idx >> t.level & 1 AS slot, s.h AS sibling
+  FROM placed p JOIN trees t ON t.lang IS NOT DISTINCT FROM p.lang AND t.idx = p.idx >> t.level AND t.n > 1
+  LEFT JOIN trees s ON s.lang IS NOT DISTINCT FROM p.lang AND s.level = t.level AND s.idx = xor(p.idx >> t.level, 1)
+  UNION ALL
+  SELECT p.lang, p.idx, g.height + t.level, g.idx >> t.level & 1, s.h
+  FROM placed p JOIN subroots g ON g.lang IS NOT DISTINCT FROM p.lang
+  JOIN forest t ON t.idx = g.idx >> t.level AND t.n > 1
+  LEFT JOIN forest s ON s.level = t.level AND s.idx = xor(g.idx >> t.level, 1)),
+ways AS (
+  SELECT lang, idx, string_agg(sibling, '' ORDER BY level) AS siblings,
+         list({'slot': slot, 'h': coalesce(sibling, '')} ORDER BY level) AS way
+  FROM steps GROUP BY lang, idx),
+folds AS (
+  SELECT p.doc_id, p.leaf, p.lang, coalesce(siblings, '') AS siblings, coalesce(way, []) AS way, 1 AS step,
+         coalesce(replaced, leaf) AS h
+  FROM placed p LEFT JOIN ways w ON w.lang IS NOT DISTINCT FROM p.lang AND w.idx = p.idx
+  UNION ALL
+  SELECT doc_id, leaf, lang, siblings, way, step + 1,
+         sha256(CASE WHEN way[step].slot = 1 THEN way[step].h || h ELSE h || way[step].h END)
+  FROM folds WHERE step <= len(way))
+SELECT doc_id, leaf, subroot, root, sha256(siblings) AS proof_sha256, f.h AS folded_root,
+       f.h = root AS verified
+FROM folds f JOIN subroots g ON g.lang IS NOT DISTINCT FROM f.lang
+CROSS JOIN (SELECT h AS root FROM forest WHERE n = 1) WHERE step > len(way)"""
+
+LLM_SQL: dict[str, str] = {
+    "op3_mixing": _MIXING, "op7_lattice": _LATTICE, "op11_merkle": _MERKLE,
+}

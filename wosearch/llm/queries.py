@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from wosearch.llm import (
-    html_text, lattice, mixing, ngram_model, packing, pii, secrets, simhash, spotsigs, toxicity,
+    html_text, lattice, merkle, mixing, ngram_model, packing, pii, secrets, simhash, spotsigs, toxicity,
 )
 from wosearch.llm.common import is_held_out, table
 
@@ -84,6 +84,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fold(merkle.manifest(table(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -99,5 +103,6 @@ LLM_QUERIES: dict[str, Query] = {
     "op8_secrets": op8_secrets,
     "op9_html": op9_html,
     "op10_simhash": op10_simhash,
+    "op11_merkle": op11_merkle,
     "pipeline": pipeline,
 }
