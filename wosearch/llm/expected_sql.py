@@ -2,6 +2,7 @@
 
 from wosearch.llm.lattice import THRESHOLD
 from wosearch.llm.mixing import BLOCK, GOLDEN, LIMIT, SEED, SHARE, UNIT, WEIGHTS
+from wosearch.llm.warc import ALPHABET, LEAST_BYTES
 
 _MIXING = rf"""
 WITH sized AS (
@@ -137,6 +138,22 @@ SELECT doc_id, leaf, subroot, root, sha256(siblings) AS proof_sha256, f.h AS fol
 FROM folds f JOIN subroots g ON g.lang IS NOT DISTINCT FROM f.lang
 CROSS JOIN (SELECT h AS root FROM forest WHERE n = 1) WHERE step > len(way)"""
 
+_WARC = f"""
+WITH hashed AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+numbered AS (
+  SELECT *, strlen(payload) AS payload_bytes,
+         row_number() OVER (PARTITION BY payload ORDER BY page_id NULLS LAST) AS place,
+         first_value(page_id) OVER (PARTITION BY payload ORDER BY page_id NULLS LAST) AS response
+  FROM hashed)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i:
+         '{ALPHABET}'[1 + ((CAST('0x' || substr(h, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT)
+                            >> (15 - 5 * (i % 4))) & 31)]), 'string_agg', '') AS payload_digest,
+       CASE WHEN place > 1 AND payload_bytes >= {LEAST_BYTES} THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN place > 1 AND payload_bytes >= {LEAST_BYTES} THEN response END AS refers_to
+FROM numbered"""
+
 LLM_SQL: dict[str, str] = {
-    "op3_mixing": _MIXING, "op7_lattice": _LATTICE, "op11_merkle": _MERKLE,
+    "op3_mixing": _MIXING, "op7_lattice": _LATTICE, "op11_merkle": _MERKLE, "op13_warc": _WARC,
 }
