@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from wosearch.llm import (
-    html_text, lattice, merkle, mixing, ngram_model, packing, pii, secrets, simhash, spotsigs,
-    toxicity, warc,
+    alignment, html_text, lattice, merkle, mixing, ngram_model, packing, pii, secrets, simhash,
+    spotsigs, toxicity, warc,
 )
 from wosearch.llm.common import is_held_out, table
 
@@ -89,6 +89,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fold(merkle.manifest(table(spark, sf_dir, "documents")))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
@@ -109,6 +113,7 @@ LLM_QUERIES: dict[str, Query] = {
     "op9_html": op9_html,
     "op10_simhash": op10_simhash,
     "op11_merkle": op11_merkle,
+    "op12_alignment": op12_alignment,
     "op13_warc": op13_warc,
     "pipeline": pipeline,
 }
