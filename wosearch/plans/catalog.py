@@ -21,7 +21,7 @@ from wosearch.plans.build import build_tables
 from wosearch.plans.evaluation import Evaluation, full_analysis, run_evaluation
 from wosearch.schema import CLEAN_COLUMNS, RAW_COLUMNS, SEQ, TRACKS
 from wosearch.session import materialise, new_path, spread
-from wosearch.sources import results, testdata, vector_table, work_orders
+from wosearch.sources import npy, results, testdata, vector_table, work_orders
 from wosearch.streaming.ingest import ingest_progress, ingest_totals, start_ingest
 from wosearch.streaming.routing import start_routing
 
@@ -288,6 +288,29 @@ def vector_text_pairs(s):
     return pairs.select("vec_id", "text", F.size("embedding").alias("dim"))
 
 
+@query
+def npy_vector_scan(s):
+    """Vectors written as several .npy shards and read back by position."""
+    path = s.path("npy")
+    npy.write_vectors(s.table("embeddings"), "embedding", path, "vec_id", shard_bytes=1 << 16)
+    cells = inspection.heat_map(npy.read_vectors(s.spark, path), "position", "embedding", None)
+    return cells.withColumn("value", F.round(F.col("value").cast("double"), 6))
+
+
+@query
+def npy_text_pairs(s):
+    """A vector file and a text file whose rows belong together."""
+    vectors, texts = s.path("pairs-npy"), s.path("pairs-csv")
+    rows = s.table("embeddings").join(s.table("documents"), F.col("vec_id") == F.col("doc_id"))
+    npy.write_vectors(rows, "embedding", vectors, "vec_id", shard_bytes=1 << 16)
+    npy.write_texts(rows, "text", texts, "vec_id")
+    pairs = npy.read_pairs(s.spark, vectors, texts)
+    total = F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x.cast("double"))
+    return pairs.select(
+        "position", "text", F.size("embedding").alias("dim"), F.round(total, 6).alias("total")
+    )
+
+
 # Projections and cleaning ----------------------------------------------------------------
 
 @query

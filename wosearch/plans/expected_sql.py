@@ -430,6 +430,14 @@ _STATEMENTS = {
     "comparison_csv_scan": "FROM export",
     "vector_text_pairs": "SELECT vec_id, text, len(embedding) AS dim "
         "FROM embeddings JOIN documents ON vec_id = doc_id",
+    "npy_vector_scan": """
+      SELECT position, unnest(range(len(embedding))) AS dimension,
+             round(CAST(unnest(embedding) AS DOUBLE), 6) AS value
+      FROM (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS position, embedding FROM embeddings)""",
+    "npy_text_pairs": """
+      SELECT row_number() OVER (ORDER BY vec_id) - 1 AS position, text, len(embedding) AS dim,
+             round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total
+      FROM embeddings JOIN documents ON vec_id = doc_id""",
     # Projections and cleaning
     "search_text_form": f"SELECT doc_id, {_search_text('text')} AS search_text FROM documents",
     "strict_text_form": f"SELECT doc_id, {_strict_text('text')} AS strict_text FROM documents",

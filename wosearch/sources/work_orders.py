@@ -112,6 +112,11 @@ def read_clean(spark: SparkSession, path, multi_line: bool = False) -> DataFrame
     return _map_columns(df, CLEAN_COLUMNS, na_to_empty)
 
 
+def read_columns(spark: SparkSession, path, columns, multi_line: bool = True) -> DataFrame:
+    """The named columns of any CSV files as text, with their position in file order."""
+    return _read_strings(spark, path, columns, multi_line, "error")
+
+
 def write_csv(df: DataFrame, path, quote_all: bool = False, mode: str = "errorifexists") -> None:
     """CSV with a header; only fields that need it are quoted unless ``quote_all``.
 
