@@ -70,6 +70,8 @@ class Kind:
     pattern: re.Pattern
     holds: Callable[[re.Match], bool]
     base: bool = False
+    # Signs of a run inside which a match that failed once fails from every later start as well.
+    run: re.Pattern | None = None
 
 
 def _any(match: re.Match) -> bool:
@@ -94,7 +96,7 @@ KINDS = (
          re.compile(r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])"), lambda m: has_crc(m[0])),
     Kind("jwt", ("eyj",),
          re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-         lambda m: has_header(m[0])),
+         lambda m: has_header(m[0]), run=re.compile(r"[A-Za-z0-9_-]+")),
     Kind("stripe", ("sk_live_", "rk_live_"), re.compile(r"[sr]k_live_[A-Za-z0-9]{24,}"), _any),
     Kind("slack", ("xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-"),
          re.compile(r"xox[bpars]-[0-9]{8,}-[A-Za-z0-9-]{10,}"), _any),
@@ -129,10 +131,15 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     )
     free = [0] * len(KINDS)  # where the next match of a kind may begin
     for start, rank in hits:
-        if start >= free[rank] and (m := KINDS[rank].pattern.match(text, start)):
+        if start < free[rank]:
+            continue
+        kind = KINDS[rank]
+        if m := kind.pattern.match(text, start):
             free[rank] = m.end()
-            if KINDS[rank].holds(m):
+            if kind.holds(m):
                 found.append((start, rank, m.end()))
+        elif kind.run and (run := kind.run.match(text, start)):
+            free[rank] = run.end()
     return sorted(found)
 
 
