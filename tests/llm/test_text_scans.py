@@ -1,5 +1,6 @@
 """PII, secrets and page extraction against plain versions."""
 
+import time
 import zlib
 
 import pytest
@@ -43,6 +44,58 @@ def test_redaction_leaves_no_base_span(spark):
     assert pii.redact(docs.limit(0)).count() == 0
 
 
+def masked(text, spans):
+    """Plain redaction: overlapping spans become one mark, named by the first."""
+    out, at = "", 0
+    for kind, start, end in spans:
+        if start >= at:
+            out += text[at:start] + f"<{kind.upper()}>"
+        at = max(at, end)
+    return out + text[at:]
+
+
+@pytest.mark.parametrize("odd", [True, False])
+def test_redaction_masks_the_spans(spark, odd):
+    """The spans found hold all base spans of brute force, and exactly they are masked."""
+    docs = (brute.odd_documents(spark) if odd else spark.read.parquet(DOCUMENTS)).filter("doc_id IS NOT NULL")
+    spans = {r.doc_id: (r.text, r.s) for r in pii.find_spans(docs).select(
+        "doc_id", "text", pii.digest(F.col("pii_spans")).alias("s")).collect()}
+    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert set(spans) == set(clean)
+    for i, (text, found) in spans.items():
+        listed = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in found.split(",") if s)]
+        assert set(filter(None, brute.spans(brute.PII, text).split(","))) <= set(found.split(","))
+        assert clean[i] == (masked(text, listed) if listed else text)
+
+
+def test_numbers_inside_longer_runs(spark):
+    """Phones and cards next to other digits are no base spans; the method adds them."""
+    texts = {
+        "+1 (456) 555-2186 4436387346764662 4436": "tel:0:17,pan:18:34",
+        "pay 4111 1111 1111 1111 20260101 now": "pan:4:23",
+        "+49 30 12345678 4111-1111-1111-1111 x": "tel:0:15,pan:16:35",
+        "1234 5678 9012 3456 7890 1234 5678": "",
+        "4111 1111 1111 1111": "card:0:19",
+    }
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = pii.find_spans(docs).select("text", pii.digest(F.col("pii_spans")).alias("s")).collect()
+    assert {r.text: r.s for r in rows} == texts
+
+
+def test_many_spans_in_one_text(spark):
+    """100 000 addresses in a text: all found, all masked, in time linear in the text."""
+    n = 50_000
+    text = "".join(f"a{i}@b.de 10.0.0.{i % 256} " for i in range(n))
+    docs = spark.createDataFrame([(1, text), (2, "x" * 10**6 + " é@b.c"), (3, "é" * 10**6)], "doc_id long, text string")
+    start = time.time()
+    rows = {r.doc_id: r.s for r in pii.find_spans(docs).select(
+        "doc_id", pii.digest(F.col("pii_spans")).alias("s")).collect()}
+    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert time.time() - start < 60
+    assert rows[1] == brute.spans(brute.PII, text) and rows[2] == "" and rows[3] == ""
+    assert clean[1] == "<EMAIL> <IP> " * n and clean[3] == "é" * 10**6
+
+
 def test_redaction_of_overlapping_spans(spark):
     texts = ["see 10.0.0.0 4111 1111 1111 1111 there", "call +49 30 1234567@x.com now"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
@@ -72,6 +125,36 @@ def test_secret_checksums():
     assert kinds == ["github"]
 
 
+def plain_scan(text):
+    """Every start of every kind's pattern in turn, without keywords or memory of failures."""
+    found = []
+    for rank, kind in enumerate(secrets.KINDS):
+        for m in kind.pattern.finditer(text):
+            if kind.holds(m):
+                found.append((m.start(), rank, m.end()))
+    return sorted(found)
+
+
+def test_scan_finds_what_patterns_find(spark):
+    header = "eyJhbGciOiJIUzI1NiJ9"
+    texts = [r.text for r in spark.read.parquet(DOCUMENTS).select("text").collect() if r.text]
+    texts += [t for t in brute.ODD_TEXTS if t] + [
+        f"eyJ{header}.{header}.abcdefghij {header}.eyJx {header}.{header}.abcdefgh-_", f"{header}{header}.{header}.aaaaaaaa",
+        "sk_live_" + "a" * 30 + " xoxb-123456789-abcdefghijk AIza" + "x" * 35, "-----BEGIN RSA PRIVATE KEY----- eyJ.eyJ.eyJ",
+    ]
+    for text in texts:
+        assert secrets.scan(text) == plain_scan(text)
+
+
+@pytest.mark.parametrize("unit", ["eyJ", "eyJaaaaaaaa", "eyJaaaaaaaa.", "token=", "password ", "AKIA", "xoxb-1", "-----BEGIN "])
+def test_many_keywords_in_one_text(unit):
+    text = unit * 300_000
+    start = time.time()
+    found = secrets.scan(text)
+    assert time.time() - start < 20
+    assert all(0 <= a < b <= len(text) for a, _, b in found)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="has-sidebar">
 <header><h1>Site</h1></header><nav><ul><li><a href="/">Home of the site</a></li></ul></nav>
 <div id="content"><h2>Head  line</h2><p>First &amp; long paragraph<br>with two lines of text.
@@ -101,6 +184,40 @@ def test_page_of_sections():
     assert html_text.main_text(page) == "\n".join(["Head", *first, *items, *third])
 
 
+PARAGRAPHS = ["".join(f"{w} " * 60)[:300].strip() + "." for w in ("alpha", "beta", "gamma")]
+BODY = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+MENU = '<div class="menu"><a href="/">Home</a><a href="/a">All about us and our many friends</a></div>'
+TEASERS = '<div class="sidebar"><article><p>Another story that is told somewhere else on our pages.</p></article></div>'
+COMMENTS = ('<div id="comments" class="comments-list">'
+            + "".join(f'<article class="comment"><p>Reader {i} thinks otherwise here.</p></article>' for i in range(5)) + "</div>")
+
+
+@pytest.mark.parametrize("wrapper", [
+    '<div class="layout with-sidebar">{}</div>', '<div class="post comments-open">{}</div>', '<div class="widget-content">{}</div>',
+    '<div id=page class="no-banner">{}</div>', '<div class="sidebar-left-page">{}</div>', '<div class="content related">{}</div>',
+])
+@pytest.mark.parametrize("inner", ["<article>{}</article>", '<div class="content">{}</div>', "<main><div>{}</div></main>", "{}"])
+def test_wrappers_keep_their_article(wrapper, inner):
+    page = f"<html><body>{MENU}{wrapper.format(inner.format(BODY))}{TEASERS}{COMMENTS}<footer>us</footer></body></html>"
+    assert html_text.main_text(page) == "\n".join(PARAGRAPHS)
+
+
+@pytest.mark.parametrize("name", ["comments", "sidebar", "related", "ad banner", "cookie-notice", "site-footer", "newsletter-box"])
+def test_named_parts_are_left_out(name):
+    aside = f'<div class="{name}"><p>Words that are not a part of the story told here.</p></div>'
+    for inside in (True, False):
+        page = f"<body><article>{BODY}{aside if inside else ''}</article>{'' if inside else aside}</body>"
+        assert html_text.main_text(page) == "\n".join(PARAGRAPHS)
+
+
+@pytest.mark.parametrize("unit", ["<div>x", "<b>x", "<p>x</q>", "<span><i>y</section>", "<li>x</b>", "<div></span>x"])
+def test_many_unclosed_elements(unit):
+    n = 400_000 // len(unit)
+    start = time.time()
+    text = html_text.main_text(unit * n)
+    assert time.time() - start < 10 and sum(text.count(c) for c in "xy") == n
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<nav>x"), (None, "u", "plain"), (3, "u", "<nav>x"),
             (4, "u", "<p>" + "long text " * 50000), (5, "u", "<div>" * 3000 + "deep")]
