@@ -29,24 +29,28 @@ TIE_BREAK = ("WOID", SEQ)
 class _BestRows:
     """Running selection of one task. ``floor`` is the k-th best score seen per query."""
 
-    def __init__(self, queries: np.ndarray, k: int):
+    def __init__(self, queries: np.ndarray, k: int, floor: np.ndarray | None = None):
         self.queries = np.asarray(queries, dtype=np.float64)
         self.k = k
         self.best = np.full((len(queries), k), -np.inf, dtype=np.float32)
+        if floor is not None:
+            self.best[:] = floor[:, None]
         self.rows_at_once = max(1, SCORE_CELLS // max(1, len(queries)))
 
-    def select(self, vectors: np.ndarray):
+    def select(self, vectors: np.ndarray, which=slice(None)):
         """(query, row, score) of the rows to hand on. Rows must come in tie-break order;
         single precision makes scores comparable whatever the summation order was.
+        ``which`` names the queries that take part; query numbers count among them.
         """
-        scores = (self.queries @ vectors.astype(np.float64).T).astype(np.float32)
+        scores = (self.queries[which] @ vectors.astype(np.float64).T).astype(np.float32)
         scores[~np.isfinite(scores)] = -np.inf
         n, k = scores.shape[1], self.k
         top = scores if n <= k else np.partition(scores, n - k, axis=1)[:, n - k:]
-        merged = np.concatenate([self.best, top], axis=1)
+        merged = np.concatenate([self.best[which], top], axis=1)
         width = merged.shape[1]
-        self.best = np.partition(merged, width - k, axis=1)[:, width - k:]
-        floor = self.best.min(axis=1, keepdims=True)
+        best = np.partition(merged, width - k, axis=1)[:, width - k:]
+        self.best[which] = best
+        floor = best.min(axis=1, keepdims=True)
         query, row = np.nonzero((scores >= floor) & (scores > -np.inf))
         score = scores[query, row]
         # Equal scores at the floor may exceed k: keep the first ones in tie-break order.
