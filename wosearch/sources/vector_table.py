@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wosearch.schema import BATCH, VECTOR_TABLE_SCHEMA
+from wosearch.sources.commit_log import CommitLog
 from wosearch.session import exists
 
 _COLUMNS = VECTOR_TABLE_SCHEMA.names
@@ -21,6 +22,17 @@ def append_vectors(df: DataFrame, path: str, batch: str | None = None) -> None:
     marked.select(*_COLUMNS).write.mode("append").parquet(path)
 
 
+def vector_log(spark: SparkSession, path: str) -> CommitLog:
+    """The vector table as a log of batches: safe to repeat, read by version."""
+    return CommitLog(spark, path, VECTOR_TABLE_SCHEMA)
+
+
+def append_batch(df: DataFrame, path: str, batch: str) -> bool:
+    """Append rows under a batch id; False if the table has the batch, however often it is tried."""
+    marked = df.withColumn(BATCH, F.lit(batch))
+    return vector_log(df.sparkSession, path).append(marked, batch)
+
+
 def open_vectors(spark: SparkSession, path: str, required: bool = False) -> DataFrame:
     """The stored table, or an empty one when nothing was stored yet."""
     try:
