@@ -2,10 +2,13 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FOLDERS: dict[str, str] = {}
+_SCRATCH: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,6 +38,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     size of the table when it later chooses between a broadcast and a shuffle join.
     """
     path = new_path(df.sparkSession, label)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -57,6 +62,19 @@ def remove(spark: SparkSession, path: str) -> None:
     store.delete(where, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables written inside are removed at the end; use up the results before."""
+    made: list[str] = []
+    _SCRATCH.append(made)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(made)
+        for path in made:
+            remove(spark, path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread a table that was read from fewer splits than there are cores over the cores.
 
