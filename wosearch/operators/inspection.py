@@ -5,15 +5,13 @@ import sys
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wosearch.config import EVAL_SEED
 from wosearch.functions.text import seeded_md5, strip
-from wosearch.functions.vectors import as_double, norm
+from wosearch.functions.vectors import norm
+from wosearch.operators.principal import coordinates, principal_components
 from wosearch.schema import SEQ
 
 BROWSE_COLUMNS = ("WOID", "BuildingID", "BuildingName", "Type", "equipment", "WODescription")
@@ -103,26 +101,14 @@ def project_2d(
 
     The largest loading of a component is made positive, so that signs repeat.
     """
-    points = vectors.select(
-        key, F.coalesce(F.nullif(F.col(label).cast("string"), F.lit("")), F.lit("unknown")).alias("label"),
-        array_to_vector(as_double(F.col(vector))).alias("features"),
+    named = F.coalesce(F.nullif(F.col(label).cast("string"), F.lit("")), F.lit("unknown"))
+    found = principal_components(vectors, vector)
+    placed = coordinates(vectors.filter(F.col(vector).isNotNull()), vector, found, ("x", "y"))
+    ratio = [(i + 1, share) for i, share in enumerate(found.shares)]
+    return (
+        placed.select(key, named.alias("label"), "x", "y"),
+        vectors.sparkSession.createDataFrame(ratio, "component int, variance_share double"),
     )
-    model = PCA(k=2, inputCol="features", outputCol="scores").fit(points)
-    loadings = model.pc.toArray()
-    signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), [0, 1]])
-    mean = points.select(Summarizer.mean(F.col("features")).alias("m")).first()["m"].toArray()
-    shift = mean @ loadings
-    scores = vector_to_array("scores")
-    coordinates = model.transform(points).select(
-        key, "label",
-        *[
-            ((scores[i] - float(shift[i])) * float(signs[i])).alias(axis)
-            for i, axis in enumerate(("x", "y"))
-        ],
-    )
-    spark = vectors.sparkSession
-    ratio = [(i + 1, float(v)) for i, v in enumerate(model.explainedVariance)]
-    return coordinates, spark.createDataFrame(ratio, "component int, variance_share double")
 
 
 def heat_map(vectors: DataFrame, key: str, vector: str, dims: int | None = 20) -> DataFrame:
