@@ -13,16 +13,19 @@ from wosearch.functions.representation import (
 from wosearch.functions.text import search_text, strict_text, strip_identifiers
 from wosearch.functions.vectors import checked_dim
 from wosearch.operators import analysis, cleaning, insights, inspection, metrics, quality
-from wosearch.operators import evalset, router, strategies
+from wosearch.operators import evalset, router, sketches, strategies
+from wosearch.operators.clustered import ClusteredTable
 from wosearch.operators.encoding import HashEncoder, embed_documents, embed_queries, encode
 from wosearch.operators.numbering import chunk_sizes, with_row_index
-from wosearch.operators.search import neighbours, search
+from wosearch.operators.search import TIE_BREAK, neighbours, search
+from wosearch.operators.vocabulary import longest_terms
 from wosearch.plans.build import build_tables
 from wosearch.plans.evaluation import Evaluation, full_analysis, run_evaluation
 from wosearch.schema import CLEAN_COLUMNS, RAW_COLUMNS, SEQ, TRACKS
 from wosearch.session import materialise, new_path, spread
-from wosearch.sources import npy, results, testdata, vector_table, work_orders
+from wosearch.sources import lookup, npy, results, testdata, vector_table, work_orders
 from wosearch.streaming.ingest import ingest_progress, ingest_totals, start_ingest
+from wosearch.streaming.retrieval import hits_log, start_retrieval
 from wosearch.streaming.routing import start_routing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -236,6 +239,37 @@ def stage_skip(s):
     return vector_table.write_stage(s.cleaned.unionByName(s.cleaned), path)
 
 
+def _batches(s) -> list[tuple[str, DataFrame]]:
+    return [(t, s.vectors.filter(F.col("Type") == t)) for t in ("research", "teaching")] + [
+        ("rest", s.vectors.filter("Type NOT IN ('research', 'teaching')"))]
+
+
+def _appended(s) -> vector_table.CommitLog:
+    """Three batches, one of them twice, and the files of an append that died."""
+    path = s.path("batches")
+    for name, rows in _batches(s):
+        vector_table.append_batch(rows, path, name)
+    vector_table.append_batch(_batches(s)[0][1], path, "research")
+    s.vectors.write.parquet(f"{path}/data/unfinished")
+    return vector_table.vector_log(s.spark, path)
+
+
+@query
+def vector_table_replay(s):
+    return _stored(_appended(s).read())
+
+
+@query
+def vector_table_history(s):
+    return _appended(s).history().select("version", "batch", "n_rows")
+
+
+@query
+def vector_table_snapshot(s):
+    """The table as it was after its second batch."""
+    return _appended(s).read(1).select(SEQ, "WOID", "Type", "batch_id")
+
+
 @query
 def table_stats(s):
     return vector_table.table_stats(s.vectors)
@@ -432,6 +466,25 @@ def point_lookup(s):
     return inspection.lookup(s.raw_text, " W8 ").select(SEQ, *RAW_COLUMNS)
 
 
+@query
+def indexed_point_lookup(s):
+    """point_lookup by the layout that skips row groups."""
+    path = s.path("lookup")
+    lookup.write_lookup(s.raw_text, path)
+    found = lookup.find(lookup.open_lookup(s.spark, path), " W8 ")
+    return found.select(SEQ, *RAW_COLUMNS)
+
+
+@query
+def indexed_lookups(s):
+    """Several ids in a table that was appended to."""
+    path = s.path("lookups")
+    lookup.write_lookup(s.raw_text.filter(F.col(SEQ) % 2 == 0), path)
+    lookup.write_lookup(s.raw_text.filter(F.col(SEQ) % 2 == 1), path, mode="append", sort=False)
+    table = lookup.open_lookup(s.spark, path)
+    return lookup.find_all(table, ("W8", " W100", "W101", "W102", "none")).select(SEQ, *RAW_COLUMNS)
+
+
 @query
 def vector_lookup(s):
     cells = inspection.heat_map(inspection.lookup(s.vectors, "W8"), "WOID", "text_vec", None)
@@ -483,6 +536,21 @@ def cardinality(s):
     return quality.cardinality(s.filled)
 
 
+@query
+def distinct_sketches(s):
+    """Merged sketches of batches against exact counts: whether they are within their bound."""
+    log = sketches.distinct_log(s.spark, s.path("distinct"))
+    columns = ("BuildingID", "Type", "equipment", "WOID")
+    for name, rows in _batches(s):
+        sketches.add_distinct(log, rows, columns, name)
+    exact = quality.cardinality(s.cleaned, columns).withColumnRenamed("n_distinct", "n_exact")
+    off = F.abs(F.col("n_distinct") - F.col("n_exact"))
+    return sketches.distinct_counts(log).join(exact, "column").select(
+        "column", "n_values", "n_exact",
+        (off <= sketches.distinct_bound() * F.col("n_exact")).alias("within_bound"),
+    )
+
+
 @query
 def embedding_readiness(s):
     return _rounded(quality.readiness(s.filled), "score")
@@ -577,6 +645,27 @@ def search_short_table(s):
     return _score(found.withColumnRenamed("pool_rank", "rank"))
 
 
+@query
+def clustered_search_vectors(s):
+    """Exact top-k of a clustered table, like search_stored_vectors."""
+    stored = ClusteredTable(s.spark, s.path("clustered"), "embedding", 64)
+    stored.create(s.table("embeddings"))
+    found = stored.search(s.label_probes, TOP_K, ("vec_id",))
+    return _score(found.withColumnRenamed("pool_rank", "rank"))
+
+
+@query
+def clustered_search_text_track(s):
+    """Both halves appended one after the other, then searched like search_text_track."""
+    stored = ClusteredTable(s.spark, s.path("clustered"), "text_vec", s.encoder.dim)
+    rows = s.vectors.select(SEQ, "WOID", "text_vec")
+    stored.create(rows.filter(F.col(SEQ) % 2 == 0))
+    stored.append(rows.filter(F.col(SEQ) % 2 == 1))
+    probes = embed_queries(s.benchmark_queries, s.encoder)
+    found = stored.search(probes, TOP_K, TIE_BREAK)
+    return _score(found.select("query_id", F.col("pool_rank").alias("rank"), "WOID", "score"))
+
+
 @query
 def vector_sanity(s):
     return _rounded(inspection.sanity(s.table("embeddings"), "embedding"), "mean_norm", "std_norm")
@@ -603,12 +692,14 @@ def vector_sample(s):
 
 @query
 def principal_components(s):
-    return inspection.project_2d(s.table("embeddings"), "vec_id", "embedding", "label")[0]
+    placed = inspection.project_2d(s.table("embeddings"), "vec_id", "embedding", "label")[0]
+    return _rounded(placed, "x", "y")
 
 
 @query
 def principal_component_variance(s):
-    return inspection.project_2d(s.table("embeddings"), "vec_id", "embedding", "label")[1]
+    shares = inspection.project_2d(s.table("embeddings"), "vec_id", "embedding", "label")[1]
+    return _rounded(shares, "variance_share")
 
 
 @query
@@ -704,6 +795,29 @@ def classify_queries(s):
     return router.classify(s.router_queries)
 
 
+@query
+def vocabulary_join(s):
+    """vocabulary_terms by joins with vocabulary tables."""
+    texts = s.router_queries.withColumn("query_text", F.lower("query_text"))
+
+    def found(terms, name):
+        table = s.spark.createDataFrame([(t,) for t in terms], "term string")
+        return longest_terms(texts, "query_id", "query_text", table, name)
+
+    return found(EQUIPMENT_TERMS, "equipment").join(found(TYPE_TERMS, "building_type"), "query_id")
+
+
+@query
+def vocabulary_of_sources(s):
+    """The longest name of a building, as the raw rows have them, in each reported text."""
+    names = s.raw_text.select(F.lower("BuildingName").alias("term")).filter("term <> ''")
+    texts = s.raw_text.select(SEQ, F.concat(
+        F.lit("leak in "), F.lower("BuildingName"), F.lit(" near "), F.lower("SystemDescription")
+    ).alias("report"))
+    both = names.union(s.raw_text.select(F.lower("SystemDescription")))
+    return longest_terms(texts, SEQ, "report", both)
+
+
 @query
 def explain_routing(s):
     return router.explain_routing(s.router_queries)
@@ -734,6 +848,20 @@ def stream_routing(s):
     return s.spark.read.parquet(table)
 
 
+@query
+def stream_retrieval(s):
+    """retrieve_all for queries that arrive in four files, the stream started twice."""
+    source, hits, checkpoint = s.path("asked"), s.path("stream-hits"), s.path("stream-hits-checkpoint")
+    asked = s.cases.select("query_id", "query_text")
+    asked.repartition(4, "query_id").write.parquet(source)
+    for _ in range(2):
+        start_retrieval(
+            s.spark, source, lambda: s.vectors, hits, checkpoint, s.encoder, STRATEGIES,
+            files_per_batch=2,
+        ).awaitTermination()
+    return _short(hits_log(s.spark, hits).read())
+
+
 # Evaluation ------------------------------------------------------------------------------
 
 @query
@@ -838,6 +966,26 @@ def latency_stats(s):
     return _rounded(metrics.latency_stats(s.latencies), "mean_ms", "std_ms", "p95_ms")
 
 
+@query
+def latency_sketches(s):
+    """Figures merged from sketches of batches; the rank of the quantile is within its bound."""
+    log = sketches.quantile_log(s.spark, s.path("latencies"))
+    for n in range(3):
+        sketches.add_latencies(log, s.latencies.filter(F.col("query_id") % 3 == n), f"part-{n}")
+    figures, bound = sketches.latency_figures(log), sketches.rank_bound()
+    below, upto = (
+        F.avg(F.when(op, 1.0).otherwise(0.0))
+        for op in (F.col("latency_ms") < F.col("p95_ms"), F.col("latency_ms") <= F.col("p95_ms"))
+    )
+    ranks = s.latencies.join(figures, "strategy").groupBy("strategy").agg(
+        ((below <= 0.95 + bound) & (upto >= 0.95 - bound)).alias("within_bound")
+    )
+    return _rounded(
+        figures.join(ranks, "strategy").select("strategy", "n_values", "mean_ms", "std_ms", "within_bound"),
+        "mean_ms", "std_ms",
+    )
+
+
 @query
 def evaluate_strategies(s):
     measured = run_evaluation(s.vectors, s.encoder, s.cases)

@@ -395,6 +395,39 @@ def _millis(x: str) -> str:
 
 _SEMANTIC, _CONSTRAINED = "query_type = 'semantic'", "query_type <> 'semantic'"
 
+def _principal(statement: str, squarings: int = 18) -> str:
+    """Two leading eigenvectors of the covariance: squaring it again and again leaves one direction,
+    which is then taken out of it. The largest entry of an axis is positive.
+    """
+    parts = ["""entries AS MATERIALIZED (
+        SELECT vec_id, unnest(range(len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)""",
+        """centred AS MATERIALIZED (SELECT vec_id, i, x - avg(x) OVER (PARTITION BY i) AS v FROM entries)""",
+        """cov_1 AS MATERIALIZED (
+        SELECT a.i, b.i AS j, sum(a.v * b.v) / (SELECT count(*) - 1 FROM embeddings) AS c
+        FROM centred a JOIN centred b USING (vec_id) GROUP BY ALL)"""]
+    for n in (1, 2):
+        before = f"cov_{n}"
+        for step in range(squarings):
+            name = f"power_{n}_{step}"
+            parts.append(f"""{name} AS MATERIALIZED (
+              SELECT a.i, b.j, sum(a.c * b.c) / (SELECT sum(c * c) FROM {before}) AS c
+              FROM {before} a JOIN {before} b ON a.j = b.i GROUP BY ALL)""")
+            before = name
+        parts += [
+            f"""axis_{n} AS MATERIALIZED (
+              SELECT i, c / sqrt(sum(c * c) OVER ()) * sign(arg_max(c, abs(c)) OVER ()) AS w FROM {before}
+              WHERE j = (SELECT arg_max(i, c) FROM {before} WHERE i = j))""",
+            f"""value_{n} AS MATERIALIZED (
+              SELECT sum(p.w * c * q.w) AS variance FROM cov_{n} JOIN axis_{n} p USING (i)
+              JOIN axis_{n} q ON q.i = j)""",
+        ]
+        if n == 1:
+            parts.append("""cov_2 AS MATERIALIZED (
+              SELECT a.i, a.j, c - variance * p.w * q.w AS c FROM cov_1 a JOIN axis_1 p USING (i)
+              JOIN axis_1 q ON q.i = a.j CROSS JOIN value_1)""")
+    return "WITH " + ", ".join(parts) + " " + statement
+
+
 _STATEMENTS = {
     # Sources and sinks
     "csv_raw_scan": "SELECT row_number() OVER (ORDER BY ingest_seq) - 1 AS position, "
@@ -414,6 +447,15 @@ _STATEMENTS = {
     "stream_ingest_progress": "SELECT 4::BIGINT AS completed_chunks, "
         "count(*) AS total_rows_processed, true AS completed FROM cleaned",
     "stage_skip": "FROM cleaned",
+    "vector_table_replay": _STORED,
+    "vector_table_history": """
+      SELECT row_number() OVER (ORDER BY place) - 1 AS version, batch, n_rows FROM (
+        SELECT CASE Type WHEN 'research' THEN 0 WHEN 'teaching' THEN 1 ELSE 2 END AS place,
+               CASE WHEN Type IN ('research', 'teaching') THEN Type ELSE 'rest' END AS batch,
+               count(*) AS n_rows FROM cleaned GROUP BY ALL)""",
+    "vector_table_snapshot": """
+      SELECT ingest_seq, WOID, Type, Type AS batch_id FROM cleaned
+      WHERE Type IN ('research', 'teaching')""",
     "table_stats": f"SELECT count(*) AS text_total, count(*) AS mice_total, "
         f"{EMBEDDING_DIM} AS dim FROM cleaned",
     "metrics_json_sink": f"""
@@ -482,6 +524,11 @@ _STATEMENTS = {
       ORDER BY ingest_seq LIMIT 200""",
     "point_lookup": f"SELECT ingest_seq, {', '.join(RAW_COLUMNS)} FROM raw WHERE WOID = 'W8' "
         "ORDER BY ingest_seq LIMIT 1",
+    "indexed_point_lookup": f"SELECT ingest_seq, {', '.join(RAW_COLUMNS)} FROM raw WHERE WOID = 'W8' "
+        "ORDER BY ingest_seq LIMIT 1",
+    "indexed_lookups": f"SELECT ingest_seq, {', '.join(RAW_COLUMNS)} FROM raw "
+        "WHERE WOID IN ('W8', 'W100', 'W101', 'W102') "
+        "QUALIFY row_number() OVER (PARTITION BY WOID ORDER BY ingest_seq) = 1",
     "vector_lookup": f"""
       SELECT w.WOID, d.i AS dimension, round(coalesce(v, 0), 6) AS value
       FROM (SELECT * FROM cleaned WHERE WOID = 'W8') w CROSS JOIN range({EMBEDDING_DIM}) d(i)
@@ -510,6 +557,9 @@ _STATEMENTS = {
     "cardinality": """
       SELECT 'BuildingID' AS "column", count(DISTINCT BuildingID) AS n_distinct FROM filled
       UNION ALL SELECT 'Type', count(DISTINCT Type) FROM filled""",
+    "distinct_sketches": " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count({c}) AS n_values, count(DISTINCT {c}) AS n_exact, "
+        "true AS within_bound FROM cleaned" for c in ("BuildingID", "Type", "equipment", "WOID")),
     "embedding_readiness": """
       SELECT good_rows, total, round(good_rows / total, 6) AS score,
              CASE WHEN good_rows / total > 0.85::DOUBLE THEN 'READY'
@@ -542,6 +592,17 @@ _STATEMENTS = {
     "search_text_track": f"SELECT query_id, pool_rank AS rank, WOID, {_SCORE} FROM ("
         + _scores("item_text", "text_docs", "ingest_seq", "WOID, ingest_seq", 10, "FROM item_grid")
         + ")",
+    "clustered_search_vectors": f"""
+      SELECT query_id, vec_id, label, rank, {_SCORE} FROM (
+        SELECT q.vec_id AS query_id, e.vec_id, e.label,
+               CAST({_DOT.format(a='q.embedding', b='e.embedding')} AS FLOAT) AS score,
+               row_number() OVER (PARTITION BY q.vec_id ORDER BY
+                 CAST({_DOT.format(a='q.embedding', b='e.embedding')} AS FLOAT) DESC, e.vec_id) AS rank
+        FROM embeddings q SEMI JOIN labels_first f ON f.vec_id = q.vec_id
+        CROSS JOIN embeddings e) WHERE rank <= 10""",
+    "clustered_search_text_track": f"SELECT query_id, pool_rank AS rank, WOID, {_SCORE} FROM ("
+        + _scores("item_text", "text_docs", "ingest_seq", "WOID, ingest_seq", 10, "FROM item_grid")
+        + ")",
     "search_mice_track": f"SELECT query_id, pool_rank AS rank, WOID, {_SCORE} FROM ("
         + _scores("item_mice", "mice_docs", "ingest_seq", "WOID, ingest_seq", 10, "FROM item_grid")
         + ")",
@@ -571,6 +632,15 @@ _STATEMENTS = {
             GROUP BY p)""",
     "vector_sample": "SELECT WOID, Type, equipment FROM cleaned "
         "ORDER BY md5('42|' || WOID), WOID LIMIT 100",
+    "principal_components": _principal(
+        """SELECT vec_id, label, round(sum(v * a), 6) AS x, round(sum(v * b), 6) AS y FROM (
+             SELECT c.vec_id, coalesce(CAST(e.label AS VARCHAR), 'unknown') AS label, v, p.w AS a, q.w AS b
+             FROM centred c JOIN embeddings e USING (vec_id) JOIN axis_1 p USING (i) JOIN axis_2 q USING (i))
+           GROUP BY ALL"""),
+    "principal_component_variance": _principal(
+        """SELECT 1 AS component, round((SELECT variance FROM value_1) / sum(c), 6) AS variance_share
+           FROM cov_1 WHERE i = j
+           UNION ALL SELECT 2, round((SELECT variance FROM value_2) / sum(c), 6) FROM cov_1 WHERE i = j"""),
     "vector_heat_map": """
       SELECT vec_id, unnest(range(20)) AS dimension,
              round(CAST(unnest(embedding[1:20]) AS DOUBLE), 6) AS value FROM embeddings""",
@@ -619,8 +689,33 @@ _STATEMENTS = {
         WHERE (c.strategy = 'A' AND pool_rank <= 10) OR (c.strategy <> 'A'
           AND (b IS NULL OR b = BuildingID) AND (t IS NULL OR t = Type)
           AND (e IS NULL OR e = equipment))) WHERE r <= 10""",
+    "stream_retrieval": f"""
+      WITH wanted AS (
+        SELECT query_id,
+               nullif(regexp_extract(query_text, '\\b([A-Z]\\d{{3,4}})\\b', 1), '') AS b,
+               {_term('lower(query_text)', TYPE_TERMS)} AS t,
+               {_term('lower(query_text)', EQUIPMENT_TERMS)} AS e FROM cases),
+      fitting AS (
+        SELECT p.*, row_number() OVER (PARTITION BY p.query_id ORDER BY pool_rank) AS r
+        FROM text_pool p JOIN cleaned w USING (ingest_seq) JOIN wanted c ON c.query_id = p.query_id
+        WHERE (b IS NULL OR b = BuildingID) AND (t IS NULL OR t = Type) AND (e IS NULL OR e = equipment))
+      SELECT query_id, 'A' AS strategy, pool_rank AS rank, WOID AS woid, {_SCORE}
+      FROM text_pool WHERE pool_rank <= 10
+      UNION ALL SELECT query_id, 'C', pool_rank, WOID, {_SCORE} FROM mice_pool WHERE pool_rank <= 10
+      UNION ALL SELECT query_id, s, r, WOID, {_SCORE}
+      FROM fitting CROSS JOIN (VALUES ('B'), ('B_prime')) x(s) WHERE r <= 10""",
     "building_codes": "SELECT query_id, building_id FROM extracted",
     "vocabulary_terms": "SELECT query_id, equipment, building_type FROM extracted",
+    "vocabulary_join": "SELECT query_id, equipment, building_type FROM extracted",
+    "vocabulary_of_sources": rf"""
+      WITH names AS (
+        SELECT lower(BuildingName) AS term FROM raw WHERE BuildingName <> ''
+        UNION SELECT lower(SystemDescription) FROM raw),
+      reports AS (
+        SELECT ingest_seq, 'leak in ' || lower(BuildingName) || ' near ' || lower(SystemDescription) AS report
+        FROM raw)
+      SELECT ingest_seq, arg_min(term, (-length(term), term)) AS term FROM reports JOIN names
+      ON contains(report, term) AND regexp_matches(report, '(^|[^{_W}])' || regexp_escape(term) || '([^{_W}]|$)') GROUP BY ingest_seq""",
     "classify_queries": "FROM routed",
     "explain_routing": """
       SELECT query_id, query_text, signal, coalesce(building_id, '—') AS building_id,
@@ -674,6 +769,9 @@ _STATEMENTS = {
       FROM per_query GROUP BY strategy, query_type""",
     "latency_stats": "SELECT strategy, round(mean_ms, 6) AS mean_ms, round(std_ms, 6) AS std_ms, "
         "round(p95_ms, 6) AS p95_ms FROM latency",
+    "latency_sketches": "SELECT strategy, n AS n_values, round(mean_ms, 6) AS mean_ms, "
+        "round(std_ms, 6) AS std_ms, true AS within_bound FROM latency JOIN "
+        "(SELECT strategy, count(*) AS n FROM latencies GROUP BY ALL) USING (strategy)",
     "evaluate_strategies": "SELECT query_id, query_type, description, n_relevant, strategy, n_hits, "
         "first_hit_rank, round(mrr, 6) AS mrr, " + ", ".join(
             f"round({m}_{k}, 6) AS {m}_{k}" for k in _KS for m in ("recall", "ndcg"))
