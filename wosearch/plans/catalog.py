@@ -18,6 +18,7 @@ from wosearch.operators.clustered import ClusteredTable
 from wosearch.operators.encoding import HashEncoder, embed_documents, embed_queries, encode
 from wosearch.operators.numbering import chunk_sizes, with_row_index
 from wosearch.operators.search import TIE_BREAK, neighbours, search
+from wosearch.operators.trigrams import BrowseIndex
 from wosearch.operators.vocabulary import longest_terms
 from wosearch.plans.build import build_tables
 from wosearch.plans.evaluation import Evaluation, full_analysis, run_evaluation
@@ -28,6 +29,8 @@ from wosearch.streaming.ingest import ingest_progress, ingest_totals, start_inge
 from wosearch.streaming.retrieval import hits_log, start_retrieval
 from wosearch.streaming.routing import start_routing
 
+BROWSE_PATTERN = "worthless|thouin(or|ed)|[st]ionan.*thth(an|ing)"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _STAGES: dict[tuple[str, str], "Stages"] = {}
 
@@ -461,6 +464,15 @@ def browse_filter(s):
     return inspection.browse(s.cleaned, kind="research", pattern="ing|ed")
 
 
+@query
+def indexed_browse(s):
+    """Rows of a pattern by the trigram index, in a table that was appended to."""
+    index = BrowseIndex(s.spark, s.path("browse"))
+    for rest in (0, 1):
+        index.append(s.cleaned.filter(F.col(SEQ) % 2 == rest))
+    return index.browse(kind="research", pattern=BROWSE_PATTERN)
+
+
 @query
 def point_lookup(s):
     return inspection.lookup(s.raw_text, " W8 ").select(SEQ, *RAW_COLUMNS)

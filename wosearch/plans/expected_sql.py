@@ -522,6 +522,11 @@ _STATEMENTS = {
       SELECT WOID, BuildingID, BuildingName, Type, equipment, WODescription FROM cleaned
       WHERE Type = 'research' AND regexp_matches(WODescription, '(?i)ing|ed')
       ORDER BY ingest_seq LIMIT 200""",
+    "indexed_browse": """
+      SELECT WOID, BuildingID, BuildingName, Type, equipment, WODescription FROM cleaned
+      WHERE Type = 'research'
+        AND regexp_matches(WODescription, '(?i)worthless|thouin(or|ed)|[st]ionan.*thth(an|ing)')
+      ORDER BY ingest_seq LIMIT 200""",
     "point_lookup": f"SELECT ingest_seq, {', '.join(RAW_COLUMNS)} FROM raw WHERE WOID = 'W8' "
         "ORDER BY ingest_seq LIMIT 1",
     "indexed_point_lookup": f"SELECT ingest_seq, {', '.join(RAW_COLUMNS)} FROM raw WHERE WOID = 'W8' "
@@ -714,8 +719,10 @@ _STATEMENTS = {
       reports AS (
         SELECT ingest_seq, 'leak in ' || lower(BuildingName) || ' near ' || lower(SystemDescription) AS report
         FROM raw)
-      SELECT ingest_seq, arg_min(term, (-length(term), term)) AS term FROM reports JOIN names
-      ON contains(report, term) AND regexp_matches(report, '(^|[^{_W}])' || regexp_escape(term) || '([^{_W}]|$)') GROUP BY ingest_seq""",
+      SELECT ingest_seq, arg_min(term, (-length(term), term)) AS term
+      FROM (SELECT *, {_cut('report', f'([{_W}]+)', '⟦\\1⟧')} AS words FROM reports)
+      JOIN (SELECT *, {_cut('term', f'([{_W}]+)', '⟦\\1⟧')} AS marked FROM names)
+      ON contains(words, marked) GROUP BY ingest_seq""",
     "classify_queries": "FROM routed",
     "explain_routing": """
       SELECT query_id, query_text, signal, coalesce(building_id, '—') AS building_id,
