@@ -8,6 +8,7 @@ row) pair outside a top-k ever becomes a Spark row, and the corpus itself is not
 
 import sys
 from functools import reduce
+from itertools import chain
 from math import ceil, isqrt
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 from wosearch.config import PROBE_BLOCK_BYTES, PROBE_BLOCK_ROWS, SCORE_CELLS
 from wosearch.functions.vectors import is_valid
 from wosearch.schema import SEQ
-from wosearch.session import new_path, remove
+from wosearch.session import materialise, new_path, remove
 
 TIE_BREAK = ("WOID", SEQ)
 
@@ -104,8 +105,15 @@ def _merge(candidates: DataFrame, k: int, tie_break, salts: int) -> DataFrame:
 def _query_blocks(probes: DataFrame, limit: int):
     """Query vectors in blocks of at most ``limit`` rows, one at a time on the driver.
 
-    They are written first, so every query text is encoded once.
+    A set that fits into one block is fetched as it is. A larger one is written first, so every
+    query text is encoded once.
     """
+    head = probes.limit(limit + 1).toArrow()
+    if head.num_rows <= limit:
+        if head.num_rows:
+            yield head
+        return
+    del head
     spark, path = probes.sparkSession, new_path(probes.sparkSession, "query-vectors")
     probes.write.parquet(path)
     written = spark.read.schema(probes.schema).parquet(path)
@@ -136,7 +144,8 @@ def search(
     with a NaN or infinite element, fails the job; with ``invalid="skip"`` it matches nothing
     (split_by_validity lists such rows). A table with fewer than k rows gives fewer hits.
 
-    Query sets of any size take the same way: the corpus is scanned once per block of queries.
+    The corpus is scanned once per block of queries. Of several blocks each is searched and its
+    hits are written before the next one is fetched, so the driver's memory doesn't grow with them.
     """
     spark = corpus.sparkSession
     kept = [f.name for f in corpus.schema if not isinstance(f.dataType, T.ArrayType)]
@@ -163,9 +172,7 @@ def search(
     limit = min(probe_block, max(1, PROBE_BLOCK_BYTES // (8 * dim)))
     strict = invalid != "skip"
 
-    def candidates_of(block: pa.Table) -> DataFrame:
-        shared = spark.sparkContext.broadcast(block)  # ``limit`` rows at most
-
+    def candidates_of(shared) -> DataFrame:
         def scan(batches):
             queries = shared.value
             ids = queries.column("query_id").combine_chunks()
@@ -174,12 +181,22 @@ def search(
 
         return usable.mapInArrow(scan, schema)
 
-    found = [candidates_of(block) for block in _query_blocks(probes, limit)]
-    candidates = reduce(DataFrame.union, found) if found else spark.createDataFrame([], schema)
     if salts is None:
         slots = spark.sparkContext.defaultParallelism
         salts = 1 if slots <= 64 else isqrt(slots)
-    return _merge(candidates, k, tie_break, salts)
+    blocks = _query_blocks(probes, limit)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return _merge(spark.createDataFrame([], schema), k, tie_break, salts)
+    if second is None:
+        return _merge(candidates_of(spark.sparkContext.broadcast(first)), k, tie_break, salts)
+    found = []
+    for block in chain((first, second), blocks):
+        shared = spark.sparkContext.broadcast(block)  # ``limit`` rows at most
+        found.append(materialise(_merge(candidates_of(shared), k, tie_break, salts), "block-hits"))
+        shared.unpersist()
+    # A query is in one block only.
+    return reduce(DataFrame.union, found)
 
 
 def neighbours(vectors: DataFrame, key: str, vector: str, query_key, k: int, dim: int) -> DataFrame:
