@@ -1,7 +1,9 @@
 """Fingerprints, near-duplicates, model scores, toxicity, mixing and packing."""
 
 import hashlib
+import itertools
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -46,6 +48,50 @@ def test_spotsigs_edits(spark, docs):
         assert row.near_next == len(own & after) / max(1, len(own | after))
 
 
+def plain_signatures(text):
+    """Chains of three content words after a common word, or after a content word that comes more
+    than eight content words after the last common one; looked up anew for every word."""
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    found = set()
+    for i, word in enumerate(words):
+        if word not in spotsigs.COMMON:
+            commons = [j for j in range(i) if words[j] in spotsigs.COMMON]
+            since = words[commons[-1] + 1 if commons else 0:i + 1]
+            if len(since) <= 8:
+                continue
+        chain = [w for w in words[i + 1:] if w not in spotsigs.COMMON][:3]
+        if len(chain) == 3:
+            found.add(xxhash.xxh32_digest(" ".join([word, *chain]).encode()))
+    if not found and text:
+        found.add(xxhash.xxh32_digest((" ".join(words) or text).encode()))
+    return found
+
+
+def test_spotsigs_signatures(docs):
+    texts = [r.text for r in docs.filter("length(text) < 3000").limit(150).collect()]
+    texts += [t for t in brute.ODD_TEXTS if t is not None and len(t) < 20000]
+    texts += ["the x", "a b c d", "one two three four five six seven eight nine ten eleven twelve thirteen", "THE Old OLD old old"]
+    for text in texts:
+        assert spotsigs.signatures(text) == plain_signatures(text)
+
+
+def test_spotsigs_pairs_without_ids(spark, docs):
+    """A set without an id pairs like any other, and so do two texts under one id."""
+    text = docs.filter("length(text) between 2000 and 4000").first().text
+    words = text.split(" ")
+    other, third = " ".join(words[:-20]), " ".join(words[:40] + words[60:])
+    rows = spark.createDataFrame([(None, text), (5, other), (5, third), (None, ""), (7, None)], "doc_id long, text string")
+    sets = [spotsigs.signatures(t) for t in (text, other, third)]
+    want = sorted(
+        (str((None, 5) if x and y is None else (5, 5) if x and y else (5, None)), round(spotsigs.likeness(a, b), 9))
+        for (x, a), (y, b) in itertools.combinations(zip((None, 5, 5), sets), 2) if spotsigs.likeness(a, b) >= 0.8
+    )
+    assert len(want) >= 2 and len(set(sets)) == 3
+    got = spotsigs.near_pairs(rows, 0.8).collect()
+    assert sorted((str((r.a, r.b)), round(r.likeness, 9)) for r in got) == want
+    assert spotsigs.near_pairs(rows.limit(0)).count() == 0
+
+
 def test_spotsigs_odd(spark):
     docs = brute.odd_documents(spark)
     rows = spotsigs.compare_edits(docs).collect()

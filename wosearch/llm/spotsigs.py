@@ -32,6 +32,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wosearch.session import materialise
+
 CHAIN = 3
 GAP = 8
 HASH_BYTES = 4
@@ -211,40 +213,53 @@ def _sign_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_pairs(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(a, b, likeness): pairs of different fingerprints with a Jaccard similarity of ``least``.
 
-    a and b are the smallest ids of their fingerprints; copies share one and make no pairs.
+    a and b are the smallest ids of their fingerprints, a the smaller one; a fingerprint that occurs
+    only without an id has a null one and comes second. Copies share a fingerprint and make no
+    pairs; two texts under one id are two fingerprints. Texts without signatures pair with none.
     Sets are partitioned by size into stretches of ratio ``least``. A set's rarest signatures,
     so many that two alike sets must share one, are its entries in an inverted index; entries
-    meet within a partition and with the next, and what the sizes rule out is left out.
+    meet within a partition and with the next, and what the sizes rule out is left out. Sets go by
+    a hash of their signatures, so ids play no part in the search.
     """
     signed = docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(
         _sign_task, "doc_id long, sigs array<long>"
     )
-    sets = signed.groupBy("sigs").agg(F.min("doc_id").alias("id")).filter(
-        "id is not null and size(sigs) > 0"
+    sets = materialise(
+        signed.filter("size(sigs) > 0").groupBy("sigs").agg(F.min("doc_id").alias("id"))
+        .withColumn("key", F.xxhash64("sigs")), "spotsigs-sets",
     )
     counts = sets.select(F.explode("sigs").alias("sig")).groupBy("sig").count()
     size = F.size("sigs")
     ranked = (
-        sets.select("id", size.alias("n"), F.explode("sigs").alias("sig")).join(counts, "sig")
+        sets.select("key", size.alias("n"), F.explode("sigs").alias("sig")).join(counts, "sig")
         .withColumn("rank", F.row_number().over(
-            Window.partitionBy("id").orderBy("count", "sig")))
+            Window.partitionBy("key").orderBy("count", "sig")))
         .filter(F.col("rank") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1)
         .withColumn("part", F.floor(F.log("n") / F.lit(-1.0) / F.log(F.lit(least))))
     )
     left = ranked.select(
-        F.col("id").alias("a"), F.col("n").alias("n_a"), "sig",
+        F.col("key").alias("x"), F.col("n").alias("n_x"), "sig",
         F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"),
         F.col("part").alias("home"),
     )
-    right = ranked.select(F.col("id").alias("b"), F.col("n").alias("n_b"), "sig", "part")
+    right = ranked.select(F.col("key").alias("y"), F.col("n").alias("n_y"), "sig", "part")
     pairs = left.join(right, ["sig", "part"]).filter(
-        "(home < part or a < b) and a <> b"
-    ).filter(F.least("n_a", "n_b") >= F.lit(least) * F.greatest("n_a", "n_b")).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+        "(home < part or x < y) and x <> y"
+    ).filter(F.least("n_x", "n_y") >= F.lit(least) * F.greatest("n_x", "n_y")).select(
+        F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")
     ).distinct()
-    own = sets.select(F.col("id").alias("a"), F.col("sigs").alias("sigs_a"))
-    other = sets.select(F.col("id").alias("b"), F.col("sigs").alias("sigs_b"))
-    common = F.size(F.array_intersect("sigs_a", "sigs_b"))
-    return pairs.join(own, "a").join(other, "b").withColumn(
-        "likeness", common / (F.size("sigs_a") + F.size("sigs_b") - common)
-    ).filter(F.col("likeness") >= least).select("a", "b", "likeness")
+
+    def side(name: str) -> DataFrame:
+        return sets.select(
+            F.col("key").alias(name), F.col("sigs").alias(f"sigs_{name}"), F.col("id").alias(f"id_{name}")
+        )
+
+    common = F.size(F.array_intersect("sigs_x", "sigs_y"))
+    alike = pairs.join(side("x"), "x").join(side("y"), "y").withColumn(
+        "likeness", common / (F.size("sigs_x") + F.size("sigs_y") - common)
+    ).filter(F.col("likeness") >= least)
+    both_known = F.col("id_x").isNotNull() & F.col("id_y").isNotNull()
+    return alike.select(
+        F.least("id_x", "id_y").alias("a"),
+        F.when(both_known, F.greatest("id_x", "id_y")).alias("b"), "likeness",
+    )
