@@ -169,6 +169,28 @@ def test_simhash_hot_groups(spark, monkeypatch):
     assert {p: groups.root(p) for p in prints} == want
 
 
+def test_simhash_one_band_pair(spark):
+    """Many members that agree in two bands: cut until groups are bounded, no link lost."""
+    rng = np.random.default_rng(3)
+    prints = [int(x) << 26 | 12345 for x in rng.integers(0, 1 << 37, 60_000)]
+    near = {p ^ sum(1 << int(b) for b in rng.choice(np.arange(26, 63), rng.integers(1, 4), replace=False)): p for p in prints[:200]}
+
+    def links_of(some):
+        rows = spark.createDataFrame([(p,) for p in set(some)], "print long").repartition(8)
+        return [(r.a, r.b) for r in simhash.link_prints(rows).collect()]
+
+    groups = brute.Groups()
+    for a, b in links_of([*prints, *near]):
+        assert (a ^ b).bit_count() <= 3
+        groups.tie(a, b)
+    assert all(groups.root(a) == groups.root(b) for a, b in near.items())
+    # All links of a smaller copy that is still beyond the bound.
+    few, groups = sorted({*prints[:4000], *near}), brute.Groups()
+    for a, b in links_of(few):
+        groups.tie(a, b)
+    assert {p: groups.root(p) for p in few} == linked({p: p for p in few})
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 103), (103, 101), (7, 7), (100, 103)]
     got = dict(components.components(spark.createDataFrame(chain, "a long, b long")).collect())

@@ -9,9 +9,13 @@ ten groups, one for each pair of bands. Inside a group the pivot table works: th
 every fingerprint to ``PIVOTS`` reference fingerprints are computed once; by the triangle
 inequality no distance can differ by more than the radius within a link. Members are sorted by
 their distance to the first pivot, so only a short stretch is looked at; pairs whose largest
-difference over all pivots exceeds the radius are discarded; the rest is verified. A group with
-more than ``GROUP`` members is first cut into overlapping cells of its pivot distances, in
-which every pair within the radius meets.
+difference over all pivots exceeds the radius are discarded; the rest is verified.
+
+Hot groups. The members of a group agree in some bits. In a group with more than ``GROUP``
+members the other bits are cut into four parts; fingerprints within 3 bits agree in one part at
+least, so each member goes to four smaller groups, and groups that are still too large are cut
+again. With ``REST_BITS`` bits left a group can't have more members than that, so this comes to an
+end: no pair within the radius is lost and no task holds a larger group, whatever the fingerprints.
 
 Pairs never leave a task: links inside one group are merged as they are found, and only those
 that join two parts go on, fewer than the group has members.
@@ -27,6 +31,7 @@ Defined results
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -44,9 +49,8 @@ SEED = 42
 RADIUS = 3
 BANDS = (13, 13, 13, 13, 12)
 PIVOTS = 32
-GROUP = 5000
-CELL_PIVOTS = 3
-CELL = 8
+GROUP = 2048
+REST_BITS = 11
 BATCH_BYTES = 8 << 20
 SLICE = 1 << 16
 
@@ -107,35 +111,41 @@ def _band_masks() -> list[int]:
     return [_as_long(x | y) for x, y in combinations(bands, len(BANDS) - RADIUS)]
 
 
-def _cells(print_: Column) -> Column:
-    """Cells of a hot group: numbers of overlapping stretches of the pivot distances."""
-    def crossed(cells: Column, stretches: Column) -> Column:
-        return F.flatten(F.transform(
-            cells, lambda c: F.transform(stretches, lambda x: c * 16 + x + 1)
-        ))
+def _parts(rest: Column, n: int = RADIUS + 1) -> Column:
+    """The set bits of a long in ``n`` masks; empty ones are left out."""
+    bits = F.filter(
+        F.sequence(F.lit(0), F.lit(63)), lambda b: F.call_function("getbit", rest, b) == 1
+    )
+
+    def mask(i: Column) -> Column:
+        first = F.floor(F.size(bits) * i / n).cast("int")
+        last = F.floor(F.size(bits) * (i + 1) / n).cast("int")
+        return F.aggregate(
+            F.slice(bits, first + 1, last - first), F.lit(0).cast("long"),
+            lambda m, b: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b)),
+        )
+
+    return F.filter(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), mask), lambda m: m != 0)
 
-    cells = F.array(F.lit(0))
-    for pivot in pivots(CELL_PIVOTS):
-        distance = F.bit_count(print_.bitwiseXOR(F.lit(_as_long(int(pivot)))))
-        own = F.array_distinct(F.array(
-            F.floor(distance / CELL).cast("int"), F.floor((distance + RADIUS) / CELL).cast("int")
-        ))
-        cells = crossed(cells, own)
-    return cells
+
+def _dealt(members: DataFrame, masks: Column) -> DataFrame:
+    """Members (print, group, rest) to smaller groups, one for each mask of bits they now agree in."""
+    return members.select("print", "group", "rest", F.explode(masks).alias("mask")).select(
+        "print", F.xxhash64("group", "mask", F.col("print").bitwiseAND(F.col("mask"))).alias("group"),
+        F.col("rest").bitwiseAND(F.bitwise_not("mask")).alias("rest"),
+    )
 
 
 def link_groups(
-    table: np.ndarray, key: np.ndarray, cell: np.ndarray, prints: np.ndarray, radius: int = RADIUS
+    key: np.ndarray, prints: np.ndarray, radius: int = RADIUS
 ) -> list[tuple[int, int]]:
-    """Links that join parts inside groups of equal (table, key, cell), as row pairs."""
+    """Links that join parts inside groups of equal keys, as row pairs."""
     refs = pivots()
     coords = np.stack([np.bitwise_count(prints ^ p) for p in refs], axis=1).astype(np.int8)
-    order = np.lexsort((prints, coords[:, 0], cell, key, table))
-    table, key, cell = table[order], key[order], cell[order]
-    prints, coords = prints[order], coords[order]
+    order = np.lexsort((prints, coords[:, 0], key))
+    key, prints, coords = key[order], prints[order], coords[order]
     n = len(prints)
-    same = (table[1:] == table[:-1]) & (key[1:] == key[:-1]) & (cell[1:] == cell[:-1])
-    group = np.concatenate(([0], np.cumsum(~same)))
+    group = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
     part = np.arange(n)
     links = []
     active, step = np.arange(n), 0
@@ -184,17 +194,16 @@ def _link_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = columns if held is None else [np.concatenate(p) for p in zip(held, columns)]
             if not len(held[0]):
                 continue
-            last = (held[0] == held[0][-1]) & (held[1] == held[1][-1]) & (held[2] == held[2][-1])
-            cut = int(np.argmax(last))
+            cut = int(np.argmax(held[0] == held[0][-1]))
         elif held is None or not len(held[0]):
             return
         else:
             cut = len(held[0])
         if not cut:
             continue
-        table, key, cell, prints = (c[:cut] for c in held)
+        key, prints = (c[:cut] for c in held)
         held = [c[cut:] for c in held]
-        links = link_groups(table, key, cell, prints.view(np.uint64))
+        links = link_groups(key, prints.view(np.uint64))
         if links:
             a, b = (prints[list(side)] for side in zip(*links))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -207,24 +216,26 @@ def _with_end(batches: Iterable) -> Iterator:
 
 def link_prints(prints: DataFrame) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column print), enough to connect them."""
-    tables = F.array(*(
-        F.struct(F.lit(i).alias("table"), F.col("print").bitwiseAND(F.lit(mask)).alias("key"))
-        for i, mask in enumerate(_band_masks())
-    ))
-    members = prints.select("print", F.explode(tables).alias("t")).select("print", "t.*")
-    hot = members.groupBy("table", "key").count().filter(F.col("count") > GROUP).select(
-        "table", "key", F.lit(True).alias("hot")
-    )
-    dealt = members.join(hot, ["table", "key"], "left").select(
-        "table", "key",
-        F.explode(F.when(F.col("hot"), _cells(F.col("print"))).otherwise(F.array(F.lit(0))))
-        .alias("cell"),
-        "print",
-    )
-    sorted_groups = dealt.repartition("table", "key", "cell").sortWithinPartitions(
-        "table", "key", "cell"
+    # ``rest``: the bits that can still tell the members of a group apart.
+    single = prints.select("print", F.lit(0).alias("group"), F.lit(-1).cast("long").alias("rest"))
+    members = _dealt(single, F.array(*(F.lit(mask) for mask in _band_masks())))
+    done = []
+    while True:
+        hot = materialise(
+            members.filter(F.bit_count("rest") > REST_BITS).groupBy("group").count()
+            .filter(F.col("count") > GROUP).select("group"), "simhash-hot",
+        )
+        if hot.isEmpty():
+            done.append(members)
+            break
+        done.append(members.join(hot, "group", "left_anti"))
+        members = materialise(
+            _dealt(members.join(hot, "group", "left_semi"), _parts(F.col("rest"))), "simhash-members"
+        )
+    whole = reduce(DataFrame.unionByName, done).select("group", "print")
+    return whole.repartition("group").sortWithinPartitions("group").mapInArrow(
+        _link_task, "a long, b long"
     )
-    return sorted_groups.mapInArrow(_link_task, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
