@@ -259,3 +259,26 @@ def test_appended_twice_gives_one_hit_per_id(spark, table):
     hits = strategies.strategy_a(double, asked, encoder, 8).orderBy("rank").collect()
     want = python_strategies(rows + rows, encoder, (1, "pump leak roof", None, None, None), 8)["A"]
     assert [r.woid for r in hits] == want and len(want) < 8
+
+
+def test_vectors_are_encoded_once(spark):
+    rows = spark.range(50).select("id", F.concat(F.lit("pump "), "id").alias("t"))
+    cells = rows.select("id", encode(F.col("t"), HashEncoder(8)).alias("v")).select("id", F.posexplode("v"))
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_encoder_remembers_a_bounded_number_of_tokens(monkeypatch):
+    monkeypatch.setattr("wosearch.operators.encoding.KNOWN_TOKENS", 100)
+    texts = [" ".join(f"t{i + j}" for j in range(40)) for i in range(0, 4000, 7)]
+    encoder = HashEncoder(64)
+    found = encoder.encode(texts)
+    assert len(encoder._slots) <= 100
+    assert np.array_equal(found, np.concatenate([HashEncoder(64).encode([t]) for t in texts]))
+
+
+def test_a_task_holds_few_rows_in_double_precision():
+    from wosearch.config import SCORE_ROWS
+    from wosearch.operators.search import _BestRows
+
+    assert _BestRows(np.ones((1, 4)), 3).rows_at_once == SCORE_ROWS

@@ -3,6 +3,8 @@
 # Vectors
 EMBEDDING_DIM = 768
 ENCODE_BATCH = 128
+# Tokens whose slots a task remembers.
+KNOWN_TOKENS = 1 << 16
 # Instruction prefixes of query texts.
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 CONTEXT_QUERY_PREFIX = "work order description: "
@@ -35,6 +37,8 @@ MIN_QUERY_CHARS = 10
 PROBE_BLOCK_ROWS = 4096
 PROBE_BLOCK_BYTES = 64 << 20
 SCORE_CELLS = 4_000_000
+# Rows whose double-precision copies a task holds at once.
+SCORE_ROWS = 2048
 
 # Global numbering: rows per bucket (see operators/numbering.py).
 NUMBERING_BUCKET = 1 << 20

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wosearch.config import PROBE_BLOCK_BYTES, PROBE_BLOCK_ROWS
+from wosearch.config import PROBE_BLOCK_BYTES, PROBE_BLOCK_ROWS, SCORE_ROWS
 from wosearch.functions.vectors import is_valid
 from wosearch.operators.search import _BestRows, _merge, _ordered, _query_blocks, _vectors
 from wosearch.session import exists, materialise
@@ -81,7 +81,8 @@ def _angles(products: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def _place(batches: Iterable[pa.RecordBatch], vector: str, dim: int, centres) -> Iterator:
     middle = centres.value
     size = np.linalg.norm(middle, axis=1)
-    for batch in batches:
+    parts = (b.slice(i, SCORE_ROWS) for b in batches for i in range(0, b.num_rows, SCORE_ROWS))
+    for batch in parts:
         column = batch.column(vector)
         cluster = np.full(batch.num_rows, UNPLACED, np.int32)
         distance, angle, length = (np.zeros(batch.num_rows) for _ in range(3))

@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wosearch.config import CONTEXT_QUERY_PREFIX, EMBEDDING_DIM, ENCODE_BATCH, QUERY_PREFIX
+from wosearch.config import CONTEXT_QUERY_PREFIX, EMBEDDING_DIM, ENCODE_BATCH, KNOWN_TOKENS, QUERY_PREFIX
 from wosearch.functions.vectors import is_valid
 from wosearch.schema import VECTOR_TYPE
 
@@ -25,6 +25,22 @@ class Encoder(Protocol):
         """Matrix of len(texts) x dim, rows of length one."""
 
 
+class _Slots(dict):
+    """Slots of the tokens met last. Most tokens of a corpus are rare, so they are not all kept."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= KNOWN_TOKENS:
+            self.clear()
+        h = int.from_bytes(hashlib.md5(token.encode()).digest()[:4], "big")
+        # Positive signs use slots 0..dim-1, negative ones dim..2*dim-1.
+        slot = self[token] = h % self.dim + self.dim * (h // self.dim % 2)
+        return slot
+
+
 class HashEncoder:
     """Model-free encoder: every token adds +1 or -1 to one of ``dim`` buckets.
 
@@ -36,29 +52,18 @@ class HashEncoder:
 
     def __init__(self, dim: int = EMBEDDING_DIM):
         self.dim = dim
-        self._slots: dict[str, int] = {}
+        self._slots = _Slots(dim)
 
     def __getstate__(self):
-        return {"dim": self.dim, "_slots": {}}
-
-    def _slot(self, token: str) -> int:
-        if len(self._slots) > 1_000_000:
-            self._slots.clear()
-        h = int.from_bytes(hashlib.md5(token.encode()).digest()[:4], "big")
-        # Positive signs use slots 0..dim-1, negative ones dim..2*dim-1.
-        slot = h % self.dim + self.dim * (h // self.dim % 2)
-        self._slots[token] = slot
-        return slot
+        return {"dim": self.dim, "_slots": _Slots(self.dim)}
 
     def encode(self, texts: Sequence[str]) -> np.ndarray:
-        known = self._slots
+        slot = self._slots.__getitem__
         counts = np.zeros((len(texts), 2 * self.dim))
         for i, text in enumerate(texts):
-            slots = [
-                known[t] if t in known else self._slot(t)
-                for t in self._token.findall((text or "").lower())
-            ]
-            if slots:
+            tokens = self._token.findall((text or "").lower())
+            if tokens:
+                slots = np.fromiter(map(slot, tokens), np.int64, len(tokens))
                 counts[i] = np.bincount(slots, minlength=2 * self.dim)
         vectors = counts[:, : self.dim] - counts[:, self.dim:]
         length = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
@@ -66,17 +71,20 @@ class HashEncoder:
 
 
 def encode(c, encoder: Encoder, batch: int = ENCODE_BATCH) -> Column:
-    """Vector of a text column; texts travel in Arrow batches, vectors come back the same way."""
+    """Vector of a text column; texts travel in Arrow batches, vectors come back the same way.
+
+    To Spark the model is not deterministic: a text is encoded once, whatever filters follow.
+    """
 
     @F.arrow_udf(VECTOR_TYPE)
     def run(texts: pa.Array) -> pa.Array:
-        values = texts.to_pylist()
-        parts = [encoder.encode(values[i:i + batch]) for i in range(0, len(values), batch)]
-        flat = np.concatenate(parts).astype(np.float32, copy=False).ravel()
-        ends = np.arange(0, flat.size + 1, encoder.dim, dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+        vectors = np.empty((len(texts), encoder.dim), np.float32)
+        for i in range(0, len(texts), batch):
+            vectors[i:i + batch] = encoder.encode(texts[i:i + batch].to_pylist())
+        ends = np.arange(0, vectors.size + 1, encoder.dim, dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(vectors.ravel()))
 
-    return run(c)
+    return run.asNondeterministic()(c)
 
 
 def embed_documents(df: DataFrame, encoder: Encoder) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wosearch.config import PROBE_BLOCK_BYTES, PROBE_BLOCK_ROWS, SCORE_CELLS
+from wosearch.config import PROBE_BLOCK_BYTES, PROBE_BLOCK_ROWS, SCORE_CELLS, SCORE_ROWS
 from wosearch.functions.vectors import is_valid
 from wosearch.schema import SEQ
 from wosearch.session import materialise, new_path, remove
@@ -36,7 +36,7 @@ class _BestRows:
         self.best = np.full((len(queries), k), -np.inf, dtype=np.float32)
         if floor is not None:
             self.best[:] = floor[:, None]
-        self.rows_at_once = max(1, SCORE_CELLS // max(1, len(queries)))
+        self.rows_at_once = max(1, min(SCORE_ROWS, SCORE_CELLS // max(1, len(queries))))
 
     def select(self, vectors: np.ndarray, which=slice(None)):
         """(query, row, score) of the rows to hand on. Rows must come in tie-break order;

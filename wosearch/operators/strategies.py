@@ -138,16 +138,17 @@ def retrieve(
         F.raise_error(F.concat(F.lit("unknown strategy: "), F.concat_ws(", ", unknown)))
     )
     queries = queries.withColumn("strategies", checked)
-    vectors = embed_queries(queries, encoder)
     on_text = [s for s in ("A", "B", "B_prime") if s in possible]
     parts = []
     if on_text:
         wanted = F.arrays_overlap("strategies", F.array(*[F.lit(s) for s in on_text]))
-        pool = _pool(corpus, vectors.filter(wanted), k * POOL_FACTOR, "text_vec", encoder.dim)
+        asked = embed_queries(queries.filter(wanted), encoder)
+        pool = _pool(corpus, asked, k * POOL_FACTOR, "text_vec", encoder.dim)
         parts.append(_text_hits(pool, queries, k))
     if "C" in possible:
         wanted = F.array_contains("strategies", "C")
-        context = _pool(corpus, vectors.filter(wanted), k, "mice_vec", encoder.dim)
+        asked = embed_queries(queries.filter(wanted), encoder)
+        context = _pool(corpus, asked, k, "mice_vec", encoder.dim)
         parts.append(context.withColumn("strategy", F.lit("C")).select(*_RANKED))
     ranked = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return _with_text(corpus, ranked)
