@@ -155,3 +155,14 @@ def test_stage_runs_once(spark, tmp_path):
     work_orders.write_csv(spark.range(3).select(F.col("id").cast("string")), path, mode="ignore")
     work_orders.write_csv(spark.range(9).select(F.col("id").cast("string")), path, mode="ignore")
     assert spark.read.option("header", True).csv(path).count() == 3
+
+
+def test_no_task_sorts_whole_texts(spark):
+    from wosearch.sources import testdata
+
+    kept = cleaning.clean(testdata.work_orders(spark, "/root/testdata/sf0.001").drop("stored_vec").transform(
+        cleaning.preprocess))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 2
+    assert "SortMergeJoin" not in plan and "RoundRobinPartitioning" not in "".join(
+        line for line in plan.splitlines() if "text#" in line)

@@ -113,7 +113,8 @@ def clean(preprocessed: DataFrame, buckets: int = PLACEHOLDER_BUCKETS) -> DataFr
     short descriptions, spread missing buildings over placeholders, fill defaults.
 
     All decisions are taken on narrow rows and written out, a few bytes per work order; the
-    full rows move once, to meet them.
+    full rows move once, to meet them. They meet in hash tables of the decisions, so that no
+    task sorts whole texts.
     """
     df = fill_missing(preprocessed)
     df = df.withColumn("BuildingID", standard_building_id(F.col("BuildingID")))
@@ -122,7 +123,7 @@ def clean(preprocessed: DataFrame, buckets: int = PLACEHOLDER_BUCKETS) -> DataFr
     numbered = with_row_index(kept.filter("lacks").select(SEQ), SEQ)
     label = F.concat(F.lit("UNK_"), (F.col("row_index") % buckets).cast("string"))
     decisions = kept.join(numbered, SEQ, "left").select(SEQ, label.alias("_label"))
-    rows = df.join(decisions, SEQ).withColumn("BuildingID", F.coalesce("_label", "BuildingID"))
+    rows = df.join(decisions.hint("shuffle_hash"), SEQ).withColumn("BuildingID", F.coalesce("_label", "BuildingID"))
     return enforce_schema(fill_defaults(rows))
 
 

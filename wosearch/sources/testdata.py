@@ -54,10 +54,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def work_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """The join spreads the rows over the cores. The hint spares it sorting (and spilling) whole
+    texts; the other side is hashed in the same small shares.
+    """
     return spark.sql(
         WORK_ORDERS,
-        documents=table(spark, folder, "documents"),
-        embeddings=table(spark, folder, "embeddings"),
+        documents=spark.read.parquet(f"{folder}/documents.parquet"),
+        embeddings=table(spark, folder, "embeddings").hint("shuffle_hash"),
     )
 
 
