@@ -103,3 +103,17 @@ def test_representations(spark):
         "hvac. work period: 2024 to ongoing. work order description: fan."
     )
     assert values(spark, mice_repr("\n"), rows, FIELDS)[2].count("\n") == 5
+
+
+def test_strip_takes_every_white_space_character(spark):
+    import sys
+    from wosearch.functions.text import SPACE, SPACES
+
+    every = "".join(chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
+    (spaces,) = values(spark, F.regexp_replace(F.col("t"), f"[^{SPACE}]+", ""), [every])
+    assert sorted(spaces) == sorted(SPACES)
+    assert values(spark, strip(F.col("t")), [SPACES + "a b" + SPACES, SPACES]) == ["a b", ""]
+
+
+def test_strip_looks_at_the_ends_only():
+    assert "regexp" not in strip(F.col("t"))._jc.toString().lower()

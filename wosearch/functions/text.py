@@ -8,15 +8,19 @@ from wosearch.config import NA_TOKENS
 # Unicode-aware character sets; Java's \w and \s cover ASCII only.
 WORD = r"\p{L}\p{N}_"
 SPACE = r"\s\x1c-\x1f\x{85}\p{Z}"
-_EDGES = f"^[{SPACE}]+|[{SPACE}]+$"
+# All characters of SPACE: those of \s, \x1c-\x1f, \x85 and \p{Z}.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(
+    map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 # Word boundary before / after a word character.
 _START = f"(?<![{WORD}])"
 _END = f"(?![{WORD}])"
 
 
 def strip(c) -> Column:
-    """Remove Unicode whitespace at both ends (``trim`` removes only spaces)."""
-    return F.regexp_replace(c, _EDGES, "")
+    """Remove Unicode whitespace at both ends (``trim`` removes only spaces). Only the ends of a
+    long text are looked at.
+    """
+    return F.btrim(c, F.lit(SPACES))
 
 
 def collapse(c) -> Column:
@@ -30,7 +34,9 @@ def search_text(c) -> Column:
     Symbols go last, so ``a & b`` keeps both spaces and an edge space can come back.
     """
     # The six separators become a space, the two quotes disappear.
-    flat = F.translate(F.coalesce(c, F.lit("")), "\n\r,;|/\"'", " " * 6)
+    flat = F.coalesce(c, F.lit(""))
+    for mark in "\n\r,;|/\"'":
+        flat = F.replace(flat, F.lit(mark), F.lit("" if mark in "\"'" else " "))
     words = F.trim(collapse(F.lower(flat)))
     # ASCII first: the regex engine tests the parts of a class in order.
     return F.regexp_replace(words, f"[^a-z0-9 \\-.{WORD}{SPACE}]+", "")
