@@ -189,3 +189,12 @@ def test_grid_and_sample(spark):
     table = df.withColumn("WOID", F.concat(F.lit("W"), "id"))
     once, twice = (sorted(r.id for r in inspection.sample(table, 10).collect()) for _ in range(2))
     assert once == twice and len(set(once)) == 10
+
+
+def test_rows_of_one_chunk_are_dealt_over_the_cores(spark, tmp_path):
+    source, table = str(tmp_path / "in"), str(tmp_path / "out")
+    write_chunk(spark, source, range(400))
+    start_ingest(spark, source, table, str(tmp_path / "c"), HashEncoder(8)).awaitTermination()
+    stored = spark.read.parquet(table)
+    assert stored.count() == 400 and len(stored.inputFiles()) > 1
+    assert stored.select("chunk").distinct().count() == 1

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from wosearch.functions.representation import with_representations
 from wosearch.operators.encoding import Encoder, embed_documents
-from wosearch.schema import BATCH, CLEAN_SCHEMA, VECTOR_TABLE_SCHEMA
+from wosearch.schema import BATCH, CLEAN_SCHEMA, SEQ, VECTOR_TABLE_SCHEMA
 
 
 def start_ingest(
@@ -21,7 +21,8 @@ def start_ingest(
     """Ingest every chunk that is not in the table yet, then stop.
 
     All waiting chunks are one micro-batch unless ``chunks_per_batch`` bounds it. A chunk is
-    named by its path and is the batch of its rows.
+    named by its path and is the batch of its rows. A micro-batch may be few files of few splits,
+    so its rows are dealt over the cores before they are encoded.
     """
     reader = spark.readStream.schema(CLEAN_SCHEMA)
     if chunks_per_batch is not None:
@@ -29,6 +30,7 @@ def start_ingest(
     chunks = (
         reader.parquet(source)
         .withColumn("chunk", F.col("_metadata.file_path")).withColumn(BATCH, F.col("chunk"))
+        .repartition(spark.sparkContext.defaultParallelism, SEQ)
     )
     vectors = embed_documents(with_representations(chunks), encoder)
     return (
