@@ -136,3 +136,16 @@ def test_few_rows_are_read(spark, tmp_path):
     assert [r.WOID for r in found.collect()] == [f"W{i}" for i in range(77, 20_000, 5000)]
     assert scanned_rows(index.candidates("zebra")) < 5000
     assert scanned_rows(index.postings.filter("gram = 'zeb'")) < index.postings.count() / 4
+
+
+def test_postings_are_made_per_block_not_per_row(spark, tmp_path):
+    texts = ["pump leaks", "leaks ¶ab", None, "", "ab", "cde", "x\U0001f600abcİj"] * 5
+    rows = spark.createDataFrame(list(enumerate(texts)), "ingest_seq bigint, WODescription string")
+    index = BrowseIndex(spark, str(tmp_path / "index")).append(rows, rows_per_block=4)
+    want = set()
+    for i, text in enumerate(texts):
+        low = (text or "").replace("İ", "i").lower()
+        want |= {(i // 4, low[j:j + 3]) for j in range(len(low) - 2) if low[j:j + 3].isascii()}
+    got = [(r["block"], r["gram"]) for r in index.postings.collect()]
+    assert sorted(got) == sorted(want)
+    assert "RLIKE" not in trigrams.trigrams(F.col("t"))._jc.toString()

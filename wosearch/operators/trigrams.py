@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from wosearch.operators.inspection import BROWSE_COLUMNS, browse
 from wosearch.schema import SEQ
+from wosearch.session import materialise
 
 ROWS_PER_BLOCK = 16
 ROW_GROUP_BYTES = 4 << 20
@@ -193,13 +194,12 @@ def holds(condition: Condition, has) -> Column:
 
 def trigrams(text: Column) -> Column:
     """Distinct trigrams of ASCII characters of a text, in lower case."""
-    folded = F.lower(F.translate(F.coalesce(text, F.lit("")), *_FOLDED))
-    # Three passes over disjoint trigrams, each from another offset.
-    found = F.concat(*(
-        F.regexp_extract_all(F.substring(folded, start, 2**31 - 1), F.lit(r"(?s).{3}"), F.lit(0))
-        for start in (1, 2, 3)
-    ))
-    return F.filter(F.array_distinct(found), lambda g: g.rlike(r"^[\x00-\x7f]{3}$"))
+    folded = F.coalesce(text, F.lit(""))
+    for letter, plain in zip(*_FOLDED):
+        folded = F.replace(folded, F.lit(letter), F.lit(plain))
+    # Looking ahead finds overlapping trigrams in one pass.
+    found = F.regexp_extract_all(F.lower(folded), F.lit(r"(?=([\x00-\x7f]{3}))"), F.lit(1))
+    return F.array_distinct(found)
 
 
 class BrowseIndex:
@@ -230,8 +230,10 @@ class BrowseIndex:
             ).option("parquet.block.size.row.check.min", 100).parquet(f"{self.path}/{name}")
 
         write(placed, ("block", SEQ), "rows")
-        postings = placed.select("block", F.explode(trigrams(F.col("WODescription"))).alias("gram")).distinct()
-        write(postings, ("gram", "block"), "postings")
+        # A block's texts are read as one. No trigram runs over the character between two of them.
+        texts = F.concat_ws("\u00b6", F.collect_list("WODescription"))
+        found = materialise(placed.groupBy("block").agg(trigrams(texts).alias("grams")), "block-grams")
+        write(found.select("block", F.explode("grams").alias("gram")), ("gram", "block"), "postings")
         return self
 
     def blocks(self, condition: Condition) -> DataFrame:
