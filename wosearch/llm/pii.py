@@ -227,11 +227,23 @@ def proposed(text: Column, kind: Kind) -> Column:
     return F.when(text.rlike(kind.needs), found.cast(PROPOSED)).otherwise(F.array().cast(PROPOSED))
 
 
+def in_any_case(words: str) -> str:
+    """A pattern that finds what these lower-case words find in a text put in lower case.
+
+    The first lower() or upper() of a JVM has ICU title-case all characters, gigabytes of garbage that
+    leave a large heap. Besides A-Z only the Kelvin sign becomes one of a-z alone, and just two
+    characters that are no letters to Java become letters, so that a word does not end there.
+    """
+    return "(?i)" + words.replace("k", "[k\u212a]").replace(
+        r"\b", "(?<![\ua7cb\ua7dc])\\b(?![\ua7cb\ua7dc])"
+    )
+
+
 def scored(blocks: Column, kind: Kind, found: Column) -> Column:
     """Confirmed spans of a kind that reach the score they need."""
     def span(x: Column) -> Column:
-        before = F.lower(cut(blocks, F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0)), x["start"]))
-        bonus = F.when(before.rlike(kind.context), CONTEXT_BONUS).otherwise(0.0)
+        before = cut(blocks, F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0)), x["start"])
+        bonus = F.when(before.rlike(in_any_case(kind.context)), CONTEXT_BONUS).otherwise(0.0)
         return F.struct(
             x["start"].alias("start"), F.lit(RANK[kind.name]).alias("rank"),
             x["end"].alias("end"), F.lit(kind.name).alias("kind"),
@@ -272,13 +284,14 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     """
     found = find_spans(df, text_col, "__pii")
     text, spans = F.coalesce(F.col(text_col), F.lit("")), F.col("__pii")
+    marks = F.array(*(F.lit(f"<{kind.name.upper()}>") for kind in KINDS))
 
     def masked_text(blocks: Column, reached: Column) -> Column:
         """``reached``: the furthest end of each span and those before it."""
         def piece(s: Column, i: Column) -> Column:
             at = F.coalesce(F.get(reached, i - 1), F.lit(0))
             return F.when(s["start"] < at, "").otherwise(F.concat(
-                cut(blocks, at, s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")
+                cut(blocks, at, s["start"]), F.get(marks, s["rank"])
             ))
 
         end = F.coalesce(F.try_element_at(reached, F.lit(-1)), F.lit(0))

@@ -132,9 +132,10 @@ def _count_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scales(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Chosen buckets, their log-count ratios, and the documents of each class."""
-    summed = texts.mapInArrow(_count_task, "bucket long, clean long, toxic long").groupBy(
+    # A task has each bucket once, so rows are dealt as they are and no task holds a table of them.
+    summed = texts.mapInArrow(_count_task, "bucket long, clean long, toxic long").repartition(
         "bucket"
-    ).agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    ).groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     n = np.array(next(
         ((r["clean"], r["toxic"]) for r in summed.filter("bucket = -1").collect()), (0, 0)
     ))
