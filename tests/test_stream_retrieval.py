@@ -1,5 +1,7 @@
 """Retrieval for a stream of queries: restarts, replays and snapshots."""
 
+from threading import Thread
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from wosearch.operators import strategies
 from wosearch.operators.encoding import HashEncoder
 from wosearch.operators.router import classify, route_and_retrieve
 from wosearch.plans.build import build_vectors
+from wosearch.session import exists, materialise, scratch
 from wosearch.sources import testdata, vector_table
 from wosearch.streaming import retrieval
 
@@ -114,3 +117,34 @@ def test_a_batch_sees_one_snapshot(spark, tmp_path, queries):
     assert rows_of(hits.read(0)) == before
     assert rows_of(hits.read().filter("query_id LIKE 'x%'")) == rows_of(
         strategies.strategy_a(log.read(), later, ENCODER))
+
+
+def test_table_built_by_the_first_batch_stays(spark, tmp_path, vectors, queries):
+    """The table may be written when a batch first opens it; later batches read it, too."""
+    made = []
+
+    def opened():
+        if not made:
+            made.append(materialise(vectors.read(), "late-vectors"))
+        return made[0]
+
+    run = Run(spark, tmp_path, vectors)
+    for n in range(2):
+        run.offer(queries.filter(f"query_id % 2 = {n}"))
+    retrieval.start_retrieval(
+        spark, run.source, opened, run.hits, run.checkpoint, ENCODER, files_per_batch=1
+    ).awaitTermination()
+    log = retrieval.hits_log(spark, run.hits)
+    assert rows_of(log.read()) == rows_of(route_and_retrieve(vectors.read(), queries, ENCODER)[0])
+    assert log.history().count() == 2 and made[0].count() == vectors.read().count()
+
+
+def test_scratch_leaves_tables_of_other_threads(spark):
+    tables = {}
+    with scratch(spark):
+        tables["own"] = materialise(spark.range(5), "own")
+        other = Thread(target=lambda: tables.update(other=materialise(spark.range(7), "other")))
+        other.start()
+        other.join()
+    assert tables["other"].count() == 7
+    assert not exists(spark, tables["own"].inputFiles()[0])

@@ -1,6 +1,7 @@
 """Shared working folder of a session and tables written to it."""
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -8,7 +9,16 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FOLDERS: dict[str, str] = {}
-_SCRATCH: list[list[str]] = []
+
+
+class _Scratch(threading.local):
+    """Lists of the tables written inside each open ``scratch`` of a thread."""
+
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_SCRATCH = _Scratch()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,8 +48,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     size of the table when it later chooses between a broadcast and a shuffle join.
     """
     path = new_path(df.sparkSession, label)
-    if _SCRATCH:
-        _SCRATCH[-1].append(path)
+    if _SCRATCH.open:
+        _SCRATCH.open[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -64,13 +74,15 @@ def remove(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Intermediate tables written inside are removed at the end; use up the results before."""
+    """Intermediate tables this thread writes inside are removed at the end; use up the results
+    before. What other threads write meanwhile, such as the one that started a stream, stays.
+    """
     made: list[str] = []
-    _SCRATCH.append(made)
+    _SCRATCH.open.append(made)
     try:
         yield
     finally:
-        _SCRATCH.remove(made)
+        _SCRATCH.open.pop()
         for path in made:
             remove(spark, path)
 

@@ -37,7 +37,8 @@ def start_retrieval(
     """Search every query file of ``source`` that was not searched yet, then stop.
 
     ``corpus`` opens the vector table; it is called for each micro-batch, so a batch sees one
-    snapshot and the next batch what was appended since. ``strategies`` are applied to every query;
+    snapshot and the next batch what was appended since. It may build the table when first called;
+    what it writes is not the batch's and stays. ``strategies`` are applied to every query;
     without them each query takes the one its text is routed to. Intermediate tables of a
     micro-batch are removed when its hits are written.
     """
@@ -47,12 +48,13 @@ def start_retrieval(
     log, named = hits_log(spark, hits), list(strategies or ())
 
     def answer(queries: DataFrame, batch: int) -> None:
+        stored = corpus()
         with scratch(spark):
             routed = materialise(classify(queries), "routed")
             if named:
-                found = retrieve(corpus(), with_strategies(routed, *named), encoder, k, tuple(named))
+                found = retrieve(stored, with_strategies(routed, *named), encoder, k, tuple(named))
             else:
-                found = retrieve_named(corpus(), routed, encoder, k)
+                found = retrieve_named(stored, routed, encoder, k)
             log.append(found, f"{name}-{batch}")
 
     return (
