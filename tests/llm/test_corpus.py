@@ -8,8 +8,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+from pyarrow import parquet
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -17,6 +19,7 @@ from tests.llm import brute
 from wosearch.llm import (
     components, lattice, mixing, ngram_model, packing, simhash, spotsigs, toxicity,
 )
+from wosearch.session import materialise
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -336,6 +339,59 @@ def test_scores_by_range(spark, docs, odd):
         assert sum(x for _, x in small) == pytest.approx(sum(x for _, x in large), rel=0.02)
 
 
+@pytest.mark.parametrize("odd", [True, False])
+def test_base_scores_by_range(spark, docs, odd):
+    """Counts that come back with the answers give what shares of the ranges give."""
+    data = brute.odd_documents(spark) if odd else docs
+    sent, stored = (
+        sorted((repr(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6))
+               for r in ngram_model.score(data, filter_bytes=1 << 12, broadcast_bytes=size).collect())
+        for size in (1 << 24, 0)
+    )
+    assert stored == sent
+    assert ngram_model.score(data.limit(0), broadcast_bytes=0).count() == 0
+
+
+def test_range_is_probed_once(monkeypatch):
+    """Probes grow with the distinct n-grams of a range, not with the parts that ask."""
+    rng, calls, rows, want = np.random.default_rng(6), [], [], {}
+    pool = [np.unique(rng.integers(0, 1 << 63, 500).astype(np.uint64)) & ~np.uint64(0xFFFF) for _ in range(2)]
+    real, total = ngram_model.probe, [Counter(), Counter()]
+    monkeypatch.setattr(ngram_model, "probe", lambda h, t: calls.append(len(h)) or real(h, t))
+    for part in range(400):
+        words, pairs = (np.sort(rng.choice(p, 30, replace=False)) for p in pool)
+        counts = [rng.integers(0, 4, 30).astype(np.uint32) for _ in pool]
+        for known, grams, count in zip(total, (words, pairs), counts):
+            known.update(dict(zip(grams.tolist(), count.tolist())))
+        rows.append((0, part, words.tobytes(), counts[0].tobytes(), ngram_model.short_bytes(pairs),
+                     counts[1].tobytes()))
+        want[part] = words, pairs
+    names = ["number", "part", "words", "of_word", "pairs", "of_pair"]
+    sent = pa.table([pa.array(c) for c in zip(*rows)], names=names)
+    got = ngram_model._answer_task((pa.scalar(0),), sent, 1 << 16).to_pylist()
+    assert len(calls) == 2 and sum(calls) == len(total[0]) + len(total[1])
+    assert (got[0]["part"], got[0]["n"]) == (-1, sum(total[0].values()))
+    assert [r["part"] for r in got[1:]] == list(range(400))
+    for row in got[1:]:
+        words, pairs = want[row["part"]]
+        exact = np.frombuffer(row["counts"], np.int64)
+        assert exact.tolist() == [total[0][w] for w in words.tolist()]
+        for levels, counts in ((row["words"], exact), (row["pairs"], np.array([total[1][x] for x in pairs.tolist()]))):
+            levels = np.frombuffer(levels, np.uint8)
+            assert (levels[counts > 0] >= ngram_model.levels(counts[counts > 0])).all()
+
+
+def test_packed_parts_are_read_few_at_once(spark):
+    """A reader takes a whole row group, and parts are large rows."""
+    noise = spark.range(0, 24, 1, 1).selectExpr(
+        "id AS part", "unhex(array_join(transform(sequence(1, 32768), x -> sha2(concat(id, '-', x), 256)), '')) AS packed")
+    written = materialise(noise, "packed", **ngram_model.PACKED)
+    file, = written.inputFiles()
+    groups = parquet.ParquetFile(file.removeprefix("file://")).metadata
+    assert groups.num_rows == 24
+    assert max(groups.row_group(i).num_rows for i in range(groups.num_row_groups)) <= 6
+
+
 # Toxicity --------------------------------------------------------------------------------
 
 def test_toxicity_held_out(spark, docs):

@@ -1,17 +1,20 @@
 """Language-model scores from a log-frequency Bloom filter of n-gram counts.
 
 Counting. Tasks turn parts of the documents into 64-bit hashes of words and word pairs and send
-them on by hash range: for each word its count in every document of the part, for each pair
-its count in the part's training documents. A range's task adds up the training counts, so it
-knows the exact count of its words; it returns each document's share of the base score and a
-segment of the filter. No word or document is ever gathered in one place, however frequent.
+them on by hash range with their counts in the part's training documents. A range's task adds
+these up, so it knows the exact count of its words, and fills a segment of the filter. No word
+or document is ever gathered in one place, however frequent.
 
 Filter. An n-gram with count c enters as (n-gram, 1) to (n-gram, q), where q grows with the
 logarithm of c. Probing 1, 2, ... until one is missing gives back q, and so the order of
-magnitude of c. Every word and pair enters: a segment grows with what it holds. Filters of up to
-``BROADCAST_BYTES`` travel to all tasks. Larger ones stay in the shared folder: parts of the
-documents send their distinct words and pairs to the segments by hash range and get levels back,
-so no task holds more than one segment. Both ways read the same segments.
+magnitude of c. Every word and pair enters: a segment grows with what it holds.
+
+Up to ``BROADCAST_TEXT`` of text and ``BROADCAST_BYTES`` of filter, the segments travel to all
+tasks, and a range returns each document's share of the base score. Beyond that a segment never
+leaves its task: it is probed once for each distinct n-gram of the range, and the parts get the
+levels of what they sent and the exact counts of their words. The parts, compressed, are written
+once; they are all that is shuffled of the texts, and they meet the answers by their number. Both
+ways fill and probe the same segments.
 
 Score. P(w | v) = WEIGHT * c(v w) / c(v) + (1 - WEIGHT) * (c(w) + 0.1) / (N + 0.1 (V + 1)), with
 all counts but N and V from the filter. Sentences are whole texts between a start and an end.
@@ -28,7 +31,7 @@ Defined results
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +48,7 @@ PRIOR = 0.1
 WEIGHT = 0.2
 FILTER_BYTES = 64 << 20  # least size of the filter
 BROADCAST_BYTES = 80 << 20  # largest filter that travels to all tasks
+BROADCAST_TEXT = 64 << 20  # most text for which that is tried
 PROBES = 4
 BITS_EACH = 6  # least bits per entry of a segment
 BASE = 1.5  # ratio of two levels of counts
@@ -359,79 +363,164 @@ def _score_task(
         )
 
 
-# A filter too large for a broadcast: parts are written, ask the segments, and meet the answers.
-PARTS = "part long, doc_ids array<long>, text_hashes array<long>, texts array<string>"
-ASKED = "part long, number int, words binary, pairs binary"
+# Large inputs: parts are packed and written, send their n-grams to the ranges, and meet the answers.
+PARTS = "part long, packed binary"
+GRAMS = "number int, part long, words binary, of_word binary, pairs binary, of_pair binary"
+ANSWERS = "part long, number int, n long, v long, counts binary, words binary, pairs binary"
+FOUND = "doc_id long, held_out boolean, n_tokens long, n_known long, share double, score double"
+# A reader's batch is a whole row group of these large rows, so row groups are small.
+PACKED = {"parquet.block.size": 4 << 20, "parquet.page.size.row.check.min": 1}
+PROBED = 1 << 18  # hashes that are probed at once
 
 
-def _part_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of the documents, each one compressed value."""
     part = TaskContext.get().partitionId() << 32
-    for doc_ids, texts, _, text_hashes in parts(batches, SCORE_BYTES):
-        lists = [
-            pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c)
-            for c in (doc_ids, text_hashes, texts.cast(pa.string()))
-        ]
+    for doc_ids, texts, held, _ in parts(batches, BATCH_BYTES):
+        whole = pa.RecordBatch.from_arrays([doc_ids, texts, held], names=["doc_id", "text", "held_out"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(
+            sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")
+        ) as out:
+            out.write_batch(whole)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([part]), *lists], names=["part", "doc_ids", "text_hashes", "texts"]
+            [pa.array([part]), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+            names=["part", "packed"],
         )
         part += 1
 
 
-def _ask_task(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+def _unpacked(packed: pa.Scalar) -> tuple[pa.Array, list[str], np.ndarray]:
+    whole = pa.ipc.open_stream(packed.as_buffer()).read_next_batch()
+    held_out = whole.column(2).to_numpy(zero_copy_only=False)
+    return whole.column(0), whole.column(1).to_pylist(), held_out
+
+
+def _grams_task(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Of each part and range the distinct words and pairs, with their counts in training documents."""
     for batch in batches:
-        for part, texts in zip(batch.column(0).to_pylist(), batch.column(1)):
-            words, pairs, _ = _grams(texts.as_py())
-            cuts = zip(*(c for h in (words, pairs) for c in (_ranges(h, bits), _ranges(h, bits)[1:])))
+        for part, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+            _, texts, held_out = _unpacked(packed)
+            tokens, owner = tokenize(texts)
+            learned = ~held_out[owner]
+            _, pair = pairs_of(tokens, owner)
+            del texts
+            sent = []
+            for hashes in (tokens, pair):
+                order = np.argsort(hashes)
+                hashes = hashes[order]
+                new = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+                count = np.add.reduceat(learned[order].astype(np.uint32), new, dtype=np.uint32)
+                sent += [hashes[new], count]
+            words, of_word, pairs, of_pair = sent
+            at, also = _ranges(words, bits), _ranges(pairs, bits)
             rows = [
-                (part, r, words[s:e].tobytes(), short_bytes(pairs[a:b]))
-                for r, (s, e, a, b) in enumerate(cuts) if e > s or b > a
+                (r, part, words[s:e].tobytes(), of_word[s:e].tobytes(), short_bytes(pairs[a:b]),
+                 of_pair[a:b].tobytes())
+                for r, (s, e, a, b) in enumerate(zip(at, at[1:], also, also[1:])) if e > s or b > a
             ]
             yield pa.RecordBatch.from_arrays([
                 pa.array(c, type=t)
-                for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))
-            ], names=["part", "number", "words", "pairs"])
+                for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), *[pa.binary()] * 4))
+            ], names=["number", "part", "words", "of_word", "pairs", "of_pair"])
+    pa.default_memory_pool().release_unused()
 
 
-def _answer_task(asked: pa.Table, stored: pa.Table) -> pa.Table:
-    """Levels, a byte each, of what the parts ask of one segment."""
-    rows = stored.column("a")
-    bits = np.frombuffer(rows[0].as_buffer(), np.uint8) if len(rows) else np.zeros(1, np.uint8)
-    words = [probe(np.frombuffer(x.as_buffer(), np.uint64), bits).tobytes() for x in asked.column("words")]
-    pairs = [probe(from_short(x.as_buffer()), bits).tobytes() for x in asked.column("pairs")]
-    return pa.Table.from_arrays(
-        [asked.column("part"), asked.column("number"), pa.array(words, pa.binary()),
-         pa.array(pairs, pa.binary())], names=["part", "number", "words", "pairs"],
-    )
+def _added(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes, the sums of their counts, and the place of every hash among them."""
+    every = np.concatenate(hashes)
+    order = np.argsort(every)
+    every = every[order]
+    new = np.concatenate(([True], every[1:] != every[:-1]))[:len(every)]
+    place = np.empty(len(every), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    distinct = every[new]
+    # Sums of integers below 2^53 are exact.
+    total = np.bincount(place, np.concatenate(counts), len(distinct)).astype(np.int64)
+    return distinct, total, place
+
+
+def _probed(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    out = np.empty(len(hashes), dtype=np.uint8)
+    for at in range(0, len(hashes), PROBED):
+        out[at:at + PROBED] = probe(hashes[at:at + PROBED], table)
+    return out
+
+
+def _answer_task(key: tuple, table: pa.Table, segment_bytes: int) -> pa.Table:
+    """Adds up one range, fills its segment and probes it once for each of the range's n-grams.
+
+    Every part gets, of what it sent, the exact counts of its words and the levels of words and pairs.
+    """
+    number, owners = key[0].as_py(), table.column("part").to_pylist()
+
+    def column(name: str, read) -> list[np.ndarray]:
+        return [read(x.as_buffer()) for x in table.column(name)]
+
+    def of(kind) -> Callable:
+        return lambda data: np.frombuffer(data, kind)
+
+    words, of_word = column("words", of(np.uint64)), column("of_word", of(np.uint32))
+    pairs, of_pair = column("pairs", from_short), column("of_pair", of(np.uint32))
+    word_ends, pair_ends = (np.cumsum([0, *map(len, x)]) for x in (words, pairs))
+    words, of_word, word_at = _added(words, of_word)
+    pairs, of_pair, pair_at = _added(pairs, of_pair)
+    seen = of_pair > 0
+    bits = segment(words, of_word, pairs[seen], of_pair[seen], segment_bytes)
+    word_level, pair_level = _probed(words, bits), _probed(pairs, bits)
+    rows = [(-1, number, int(of_word.sum()), int((of_word > 0).sum()), b"", b"", b"")]
+    for part, s, e, a, b in zip(owners, word_ends, word_ends[1:], pair_ends, pair_ends[1:]):
+        mine = word_at[s:e]
+        rows.append((part, number, 0, 0, of_word[mine].tobytes(), word_level[mine].tobytes(),
+                     pair_level[pair_at[a:b]].tobytes()))
+    pa.default_memory_pool().release_unused()
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 3)
+    names = ["part", "number", "n", "v", "counts", "words", "pairs"]
+    return pa.Table.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), types)], names=names)
 
 
 def _answered_task(written: pa.Table, answers: pa.Table, total: tuple, weight: float) -> pa.Table:
-    """Scores of the documents of one part."""
+    """Results of the documents of one part."""
     answers = answers.sort_by("number")
-    of_word, of_pair = (
-        _COUNT_OF[np.frombuffer(b"".join(answers.column(name).to_pylist()), np.uint8)]
-        for name in ("words", "pairs")
-    )
-    doc_ids, text_hashes, texts = (
-        written.column(name).combine_chunks().flatten() for name in ("doc_ids", "text_hashes", "texts")
+    counts, of_word, of_pair = (
+        np.frombuffer(b"".join(answers.column(name).to_pylist()), kind)
+        for name, kind in (("counts", np.int64), ("words", np.uint8), ("pairs", np.uint8))
     )
-    _, _, places = _grams(texts.to_pylist())
-    score = _log_scores(places, of_word, of_pair, len(texts), total, weight)
+    doc_ids, texts, held_out = _unpacked(written.column("packed")[0])
+    _, _, places = _grams(texts)
+    owner, _, word_at, _ = places
+    score = _log_scores(places, _COUNT_OF[of_word], _COUNT_OF[of_pair], len(texts), total, weight)
+    n_known = np.bincount(owner, (counts > 0)[word_at], len(texts)).astype(np.int64)
+    share = np.bincount(owner, np.log10(counts + PRIOR)[word_at], len(texts))
     return pa.Table.from_arrays(
-        [doc_ids, text_hashes, pa.array(score)], names=["doc_id", "text_hash", "score"]
+        [doc_ids, pa.array(held_out), pa.array(np.bincount(owner, minlength=len(texts))),
+         pa.array(n_known), pa.array(share), pa.array(score)],
+        names=["doc_id", "held_out", "n_tokens", "n_known", "share", "score"],
     )
 
 
 def _score_by_range(
-    rows: DataFrame, segments: DataFrame, bits: int, total: tuple, weight: float
+    rows: DataFrame, bits: int, segment_bytes: int, n_docs: int, weight: float
 ) -> DataFrame:
-    """doc_id, text_hash, score with segments (number, a) that stay where they are."""
-    written = materialise(rows.mapInArrow(_part_task, PARTS), "ngram-parts")
-    asked = written.select("part", "texts").mapInArrow(lambda b: _ask_task(b, bits), ASKED)
-    answers = asked.groupBy("number").cogroup(segments.groupBy("number")).applyInArrow(
-        _answer_task, ASKED
+    """What ``score`` returns, with segments that stay in the tasks that fill them."""
+    written = materialise(rows.mapInArrow(_pack_task, PARTS), "ngram-parts", **PACKED)
+    answers = materialise(
+        written.mapInArrow(lambda b: _grams_task(b, bits), GRAMS).groupBy("number").applyInArrow(
+            lambda key, b: _answer_task(key, b, segment_bytes), ANSWERS
+        ), "ngram-answers",
+    )
+    n, v = (x or 0 for x in answers.agg(F.sum("n"), F.sum("v")).first())
+    found = written.groupBy("part").cogroup(answers.filter("part >= 0").groupBy("part")).applyInArrow(
+        lambda left, right: _answered_task(left, right, (n, v, n_docs), weight), FOUND
     )
-    return written.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(
-        lambda left, right: _answered_task(left, right, total, weight), SCORED
+    return _presented(found, n, v)
+
+
+def _presented(found: DataFrame, n: int, v: int) -> DataFrame:
+    norm = math.log10(n + PRIOR * (v + 1))
+    return found.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("share") - F.col("n_tokens") * norm).alias("base_score"), "score",
     )
 
 
@@ -449,6 +538,9 @@ def score(
     _, volume = text_volume(rows, "text")
     bits = max(LEAST_BITS, math.ceil(math.log2(max(volume, 1) / RANGE_BYTES)))
     segment_bytes = max(1, filter_bytes >> bits)
+    n_docs = docs.select(is_held_out(F.col("doc_id"), FOLDS).alias("h")).filter("not h").count()
+    if volume > BROADCAST_TEXT or filter_bytes > broadcast_bytes:
+        return _score_by_range(rows, bits, segment_bytes, n_docs, weight)
     sent = rows.mapInArrow(lambda b: _send_task(b, bits), SENT)
     counted = materialise(
         sent.groupBy("range").applyInArrow(
@@ -457,18 +549,15 @@ def score(
     )
     totals = [np.frombuffer(r["a"], np.int64) for r in counted.filter(f"kind = {TOTALS}").collect()]
     n, v, stored = (int(x) for x in np.sum(totals, axis=0)) if totals else (0, 0, 0)
-    n_docs = docs.select(is_held_out(F.col("doc_id"), FOLDS).alias("h")).filter("not h").count()
+    if stored > broadcast_bytes:
+        return _score_by_range(rows, bits, segment_bytes, n_docs, weight)
 
-    segments = counted.filter(f"kind = {SEGMENT}").select("number", "a")
     total = (n, v, n_docs)
-    if stored <= broadcast_bytes:
-        tables = [np.zeros(1, dtype=np.uint8)] * (1 << bits)
-        for row in segments.toLocalIterator():
-            tables[row["number"]] = np.frombuffer(row["a"], np.uint8)
-        shared = spark.sparkContext.broadcast(tables)
-        scores = rows.mapInArrow(lambda b: _score_task(b, shared, total, weight), SCORED)
-    else:
-        scores = _score_by_range(rows, segments, bits, total, weight)
+    tables = [np.zeros(1, dtype=np.uint8)] * (1 << bits)
+    for row in counted.filter(f"kind = {SEGMENT}").select("number", "a").toLocalIterator():
+        tables[row["number"]] = np.frombuffer(row["a"], np.uint8)
+    shared = spark.sparkContext.broadcast(tables)
+    scores = rows.mapInArrow(lambda b: _score_task(b, shared, total, weight), SCORED)
 
     # Repeated rows have the same results, so one of their shares stands for all.
     shares = counted.filter(f"kind in ({DOCS}, {SHARES})").groupBy("part").applyInArrow(
@@ -477,12 +566,8 @@ def score(
         F.first("n_tokens").alias("n_tokens"), F.first("n_known").alias("n_known"),
         F.first("share").alias("share"),
     ).withColumnsRenamed({"doc_id": "share_id", "text_hash": "share_hash"})
-    norm = math.log10(n + PRIOR * (v + 1))
-    return scores.join(
+    joined = scores.join(
         shares,
         F.col("doc_id").eqNullSafe(F.col("share_id")) & (F.col("text_hash") == F.col("share_hash")),
-    ).select(
-        "doc_id", is_held_out(F.col("doc_id"), FOLDS).alias("held_out"), "n_tokens", "n_known",
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("share") - F.col("n_tokens") * norm).alias("base_score"), "score",
-    )
+    ).withColumn("held_out", is_held_out(F.col("doc_id"), FOLDS))
+    return _presented(joined, n, v)

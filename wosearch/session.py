@@ -41,8 +41,9 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
+def materialise(df: DataFrame, label: str, **options) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder, with the writer's ``options``, and read
+    it back.
 
     Cuts lineage so that a lost executor costs one task, and gives the optimizer the real
     size of the table when it later chooses between a broadcast and a shuffle join.
@@ -50,7 +51,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     if _SCRATCH.open:
         _SCRATCH.open[-1].append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
